@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op5_packing, op10_token_counts
+from . import op3_line_dedup, op5_packing, op8_topk_search, op9_warc, op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup.query,
     "op5_packing": op5_packing.query,
+    "op8_topk_search": op8_topk_search.query,
+    "op9_warc": op9_warc.query,
     "op10_token_counts": op10_token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": op3_line_dedup.ORACLE_SQL,
+    "op8_topk_search": op8_topk_search.ORACLE_SQL,
+    "op9_warc": op9_warc.ORACLE_SQL,
+}
