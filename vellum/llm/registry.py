@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_pii, op3_line_dedup, op4_quality, op5_packing, op6_decontamination, op7_secrets, op8_topk_search, op9_warc, op10_token_counts
+from . import op1_pii, op2_near_dedup, op3_line_dedup, op4_quality, op5_packing, op6_decontamination, op7_secrets, op8_topk_search, op9_warc, op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii.query,
+    "op2_near_dedup": op2_near_dedup.query,
     "op3_line_dedup": op3_line_dedup.query,
     "op4_quality": op4_quality.query,
     "op5_packing": op5_packing.query,
