@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import FULL_WIDTH, clear_of_margins, d, middle, side_by_side, width
@@ -70,9 +70,14 @@ def columns_overlap(blocks: Column, borders: Column) -> Column:
     return F.coalesce((F.size(borders) > 0) & (low < high) & F.exists(first, lambda a: F.exists(last, lambda b: side_by_side(a, b))), F.lit(False))
 
 
-def needs_reorder(columns: Column, page_width: Column, page_height: Column) -> Column:
-    """Whether two filled columns stand side by side left and right of the first border."""
-    clear = without_margins(F.filter(columns, lambda b: (width(b) < d(FULL_WIDTH) * page_width) & (width(b) >= 25)), page_height)
-    first = F.try_element_at(splits(clear, page_width), F.lit(1))
-    left, right = F.filter(clear, lambda b: b["x1"] <= first), F.filter(clear, lambda b: b["x0"] >= first)
-    return F.coalesce((F.size(left) >= 2) & (F.size(right) >= 2) & F.exists(left, lambda a: F.exists(right, lambda b: side_by_side(a, b))), F.lit(False))
+def with_needs_reorder(pages: DataFrame, name: str = "needs") -> DataFrame:
+    """Whether two filled columns stand side by side left and right of the first border, under `name`.
+
+    Each step is a column of its own: inside a lambda the borders would be found again for every block.
+    """
+    pw = F.col("width")
+    p = pages.withColumn("__clear", without_margins(F.filter("blocks", lambda b: (width(b) < d(FULL_WIDTH) * pw) & (width(b) >= 25)), F.col("height")))
+    p = p.withColumn("__merged", intervals(F.col("__clear"), pw)).withColumn("__first", F.try_element_at(splits_of(F.col("__merged")), F.lit(1)))
+    p = p.withColumn("__left", F.filter("__clear", lambda b: b["x1"] <= F.col("__first"))).withColumn("__right", F.filter("__clear", lambda b: b["x0"] >= F.col("__first")))
+    beside = F.exists("__left", lambda a: F.exists("__right", lambda b: side_by_side(a, b)))
+    return p.withColumn(name, F.coalesce((F.size("__left") >= 2) & (F.size("__right") >= 2) & beside, F.lit(False))).drop("__clear", "__merged", "__first", "__left", "__right")

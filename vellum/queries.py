@@ -103,7 +103,7 @@ def column_assign(spark: SparkSession, d: str) -> DataFrame:
 
 def column_reorder(spark: SparkSession, d: str) -> DataFrame:
     kept = F.filter("blocks", lambda b: b["max_size"] >= profile.FLOOR)
-    return pages(spark, d).select(F.col("doc_id").alias("page_id"), columns.needs_reorder(kept, F.col("width"), F.col("height")).alias("needs"))
+    return columns.with_needs_reorder(pages(spark, d).withColumn("blocks", kept)).select(F.col("doc_id").alias("page_id"), "needs")
 
 
 def _profiled(spark: SparkSession, d: str) -> DataFrame:
@@ -279,9 +279,9 @@ def cache_missing(spark: SparkSession, d: str) -> DataFrame:
 
 def clean_spans(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of several spans and lines, cleaned: blank spans go, broken words are joined."""
-    words = F.filter(F.split("text", " "), lambda w: w != "")
     span = lambda t: F.struct(t.alias("text"), F.length(t).cast("double").alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))
-    lines = F.transform(words, lambda w, i: F.array(span(F.when(i % 4 == 0, F.concat(w, F.lit("-"))).otherwise(w)), span(F.lit(" "))))
+    rows = F.transform(F.split("text", "\\n", -1), lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(x, F.lit("-"))).otherwise(F.lower(x)).alias("x")))
+    lines = F.transform(rows, lambda r: F.array(span(r["x"]), span(F.lit(" "))))
     block = F.struct(F.lit(0).alias("block_id"), *(g.d(0).alias(k) for k in ("x0", "y0", "x1", "y1", "max_size")), lines.alias("lines"))
     b = _docs(spark, d).where("text is not null").select("doc_id", F.explode(cleaned_blocks(F.array(block))).alias("b"))
     return b.select(F.col("doc_id").alias("page_id"), "b.max_size", F.size("b.lines").alias("n_lines"), F.sha1(profile.block_text(F.col("b")).cast("binary")).alias("text_key"))
