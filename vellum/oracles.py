@@ -172,4 +172,34 @@ ORACLES: dict[str, str] = {
     "latest_generation": "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) x where k = 1",
     "debounce_last": "select user_id, event_id from (select *, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events) x where nxt is null or epoch_us(nxt) - epoch_us(ts) > 3600000000",
     "cache_missing": "select distinct user_id, props->>'$.k' as k from events e where not exists (select 1 from events c where c.event_type = 'click' and c.user_id = e.user_id and c.props->>'$.k' = e.props->>'$.k')",
+    "box_dedup": q(
+        """, O as (select *, (x1 - x0) * (y1 - y0) as area, row_number() over (partition by page_id order by (x1 - x0) * (y1 - y0) desc, block_id) as rn from
+          (select page_id, block_id, x0, y0, x1 + max_size * 8 as x1, y1 + max_size * 4 as y1 from B) e where (x1 - x0) * (y1 - y0) > 0),
+        R as (select page_id, rn, [{'id': block_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] as kept from O where rn = 1
+          union all
+          select o.page_id, o.rn, case when len(list_filter(r.kept, lambda k: greatest(cast(0 as double), least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(cast(0 as double), least(o.y1, k.y1) - greatest(o.y0, k.y0)) / o.area >= cast(0.6 as double))) > 0
+            then r.kept else list_append(r.kept, {'id': o.block_id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}) end
+          from R r join O o on o.page_id = r.page_id and o.rn = r.rn + 1),
+        M as (select page_id, arg_max(kept, rn) as kept from R group by page_id)
+        select page_id, k.id as block_id from (select page_id, unnest(kept) as k from M) u"""
+    ),
+    "sentence_chunks": f"""with recursive X as (select doc_id, length(text) as n, case when length(text) <= 300 then [text] else string_split(regexp_replace(text, '([.!?]){SP}+', '\\1' || chr(1), 'g'), chr(1)) end as ss from documents where text is not null),
+        S as (select doc_id, i, ss[i] as s from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from X) u),
+        R as (select doc_id, i, length(s) as n, 0 as seq from S where i = 1
+          union all
+          select s.doc_id, s.i, case when r.n + length(s.s) > 300 then length(s.s) else r.n + length(s.s) end, case when r.n + length(s.s) > 300 then r.seq + 1 else r.seq end
+          from R r join S s on s.doc_id = r.doc_id and s.i = r.i + 1)
+        select r.doc_id as page_id, r.seq, sha1(string_agg(s.s, ' ' order by s.i)) as chunk_key from R r join S s on s.doc_id = r.doc_id and s.i = r.i group by r.doc_id, r.seq""",
+    "clean_spans": f"""with recursive X as (
+          select doc_id, i, case when (i - 1) % 2 = 0 then ls[i] || '-' else lower(ls[i]) end as t from (
+            select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null) u),
+        S as (select doc_id, t, row_number() over (partition by doc_id order by i) as rn from X where regexp_matches(t, '[^\\s\\p{{Z}}]')),
+        R as (select doc_id, rn, t, 1 as line from S where rn = 1
+          union all
+          select s.doc_id, s.rn, case when right(r.t, 1) = '-' and length(r.t) > 1 and regexp_matches(s.t, '^\\p{{Ll}}') then left(r.t, length(r.t) - 1) || s.t else s.t end,
+            case when right(r.t, 1) = '-' and length(r.t) > 1 and regexp_matches(s.t, '^\\p{{Ll}}') then r.line else r.line + 1 end
+          from R r join S s on s.doc_id = r.doc_id and s.rn = r.rn + 1),
+        M as (select doc_id, line, arg_max(t, rn) as t from R group by doc_id, line)
+        select m.doc_id as page_id, cast(z.size as double) as max_size, cast(count(*) as integer) as n_lines, sha1(string_agg(m.t, ' ' order by m.line)) as text_key
+        from M m join (select doc_id, max(length(t)) as size from S group by doc_id) z on z.doc_id = m.doc_id group by m.doc_id, z.size""",
 }
