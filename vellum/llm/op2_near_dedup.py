@@ -6,7 +6,7 @@
    components are taken (alternating large-star and small-star). A key whose members now lie in one
    component needs no more work, however many they are.
 3. Keys that still span components are finished. Up to `small` members: pairs across components. More:
-   their members take part in an exact prefix-filter join on their rarest shingles (lengths and positions
+   their members take part in an exact prefix-filter join on their rarer shingles (lengths and positions
    bound the overlap), so that a passage which a third of all documents share makes no pairs. Every pair is
    verified on its full sets; components are taken again.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, table
@@ -32,6 +32,8 @@ from .components import components
 from .shingles import Signer, shingle_set, similar
 
 BANDS, ROWS, PERCENT, SMALL = 40, 4, 75, 32
+#: Bounds of the sample and of the table that order shingles by how common they are.
+ORDER_SAMPLE, ORDER_TABLE = 2000, 200_000
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -79,30 +81,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of `rows`, sorted, with their counts. Sample and table are bounded;
+    they only set an order of shingles, which is exact whatever it is and fast when common ones come last."""
+    some = rows.select("id").distinct().orderBy(F.xxhash64("id")).limit(ORDER_SAMPLE)
+
+    def spread(raws: list) -> dict[str, list]:
+        return {"shingle": np.concatenate([np.frombuffer(r, np.int64) for r in raws]) if raws else []}
+
+    each = arrow_map(rows.join(F.broadcast(some), "id").select("shingles"), spread, "shingle long")
+    got = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_TABLE).toArrow()
+    keys, counts = (got[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs across components among `rows` (id, component, shingles), exact for the threshold.
 
-    Shingles are ordered from rare to common. Two similar sets share one in the first n - ceil(t n) + 1 of
-    the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, and what follows it must be
-    enough for the overlap that the threshold asks.
+    Shingles stand in one order for all, common ones last. Two similar sets share one in the first
+    n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, and what
+    follows it must be enough for the overlap that the threshold asks.
     """
+    keys, counts = _common(rows)
 
     def spread(ids: list, comps: list, raws: list) -> dict[str, list]:
-        sets = [np.frombuffer(r, np.int64) for r in raws]
-        n = [len(s) for s in sets]
-        return {"id": np.repeat(ids, n), "component": np.repeat(comps, n), "n": np.repeat(n, n), "shingle": np.concatenate(sets) if sets else []}
-
-    each = arrow_map(rows.select("id", "component", "shingles"), spread, "id long, component long, n long, shingle long")
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("id").orderBy("often", "shingle")
-    placed = each.join(often, "shingle").withColumn("pos", F.row_number().over(order).cast("long"))
-    probing = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    indexed = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    large = placed.where((F.col("pos") <= probing) & (F.col("often") > 1)).select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "pos")))
-    small = placed.where((F.col("pos") <= indexed) & (F.col("often") > 1)).select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "pos")))
+        out: dict[str, list] = {k: [] for k in ("id", "component", "n", "shingle", "pos", "indexed")}
+        for i, c, raw in zip(ids, comps, raws, strict=True):
+            s = np.frombuffer(raw, np.int64)
+            n, often = len(s), np.zeros(len(s), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                often = np.where(keys[at] == s, counts[at], 0)
+            probing, index = n + (-n * percent) // 100 + 1, n + (-n * 2 * percent) // (100 + percent) + 1
+            first = s[np.lexsort((s, often))[:probing]].tolist()
+            out["shingle"] += first
+            out["pos"] += range(1, len(first) + 1)
+            out["indexed"] += [k < index for k in range(len(first))]
+            for k, v in (("id", i), ("component", c), ("n", n)):
+                out[k] += [v] * len(first)
+        return out
+
+    placed = arrow_map(rows.select("id", "component", "shingles"), spread, "id long, component long, n long, shingle long, pos long, indexed boolean")
+    large = placed.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "pos")))
+    small = placed.where("indexed").select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "pos")))
     x, y = F.col("x_n"), F.col("y_n")
-    need = F.ceil((x + y) * percent / (100 + percent))
-    fits = (F.col("x_component") != F.col("y_component")) & (y <= x) & (100 * y >= percent * x) & (1 + F.least(x - F.col("x_pos"), y - F.col("y_pos")) >= need)
+    enough = (1 + F.least(x - F.col("x_pos"), y - F.col("y_pos"))) * (100 + percent) >= (x + y) * percent
+    fits = (F.col("x_component") != F.col("y_component")) & (y <= x) & (100 * y >= percent * x) & enough
     return large.join(small, (large.shingle == small.shingle) & fits).select(F.greatest("x_id", "y_id").alias("u"), F.least("x_id", "y_id").alias("v")).distinct()
 
 
