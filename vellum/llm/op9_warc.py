@@ -71,7 +71,7 @@ class Archive:
 
     def __init__(self, files: object, path: str, level: int):
         self.path, self.level, self.records, self.bytes = path, level, 0, 0
-        self.sink, self.held, self.pack = files.open_output_stream(path), [], None
+        self.sink, self.held, self.pack = files.open_output_stream(path, compression=None), [], None
 
     def _put(self, raw: bytes) -> None:
         self.sink.write(raw)
@@ -181,7 +181,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for path in batch.columns[0].to_pylist():
                 files, at = FileSystem.from_uri(path)
                 rows = []
-                with files.open_input_stream(at) as raw:
+                with files.open_input_stream(at, compression=None) as raw:
                     for head, block in records_of(raw):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
