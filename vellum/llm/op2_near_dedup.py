@@ -86,11 +86,13 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     they only set an order of shingles, which is exact whatever it is and fast when common ones come last."""
     some = rows.select("id").distinct().orderBy(F.xxhash64("id")).limit(ORDER_SAMPLE)
 
-    def spread(raws: list) -> dict[str, list]:
-        return {"shingle": np.concatenate([np.frombuffer(r, np.int64) for r in raws]) if raws else []}
+    def counted(raws: list) -> dict[str, list]:
+        shingles, n = np.unique(np.concatenate([np.frombuffer(r, np.int64) for r in raws]) if raws else np.empty(0, np.int64), return_counts=True)
+        return {"shingle": shingles[n > 1], "n": n[n > 1]}
 
-    each = arrow_map(rows.join(F.broadcast(some), "id").select("shingles"), spread, "shingle long")
-    got = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_TABLE).toArrow()
+    few = rows.join(F.broadcast(some), "id").select("shingles").repartition(1 + ORDER_SAMPLE // 1000)
+    each = arrow_map(few, counted, "shingle long, n long")
+    got = each.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDER_TABLE).toArrow()
     keys, counts = (got[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
     order = np.argsort(keys)
     return keys[order], counts[order]
