@@ -314,6 +314,18 @@ def test_decontamination_on_data(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in op6_decontamination.query(spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("in_memory", [2_000_000, 0])
+def test_decontamination_of_edited_and_partial_copies(spark, in_memory):
+    item = "the river bends twice before it reaches a quiet mill where grain was ground by hand until new owners moved all work into town"
+    w = item.split()
+    texts = [
+        (1, "so " + " ".join("other" if k in (6, 12, 18) else x for k, x in enumerate(w))), (2, " ".join(w[:12])), (3, " ".join(w[:9] + ["really", "very"] + w[9:])),
+        (4, " ".join(w[:4]) + " and nothing else of it"), (5, " ".join(w[::-1])), (6, " ".join(w[:5]) + " x" * 90 + " ".join(w[8:13]) + " y" * 90 + " ".join(w[16:21])),
+    ]
+    got = op6_decontamination.contaminated(docs_of(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"), in_memory=in_memory)
+    assert {r.doc_id for r in got.collect()} == {1, 2, 3}
+
+
 # --- 7: secrets -------------------------------------------------------------------------------------
 
 

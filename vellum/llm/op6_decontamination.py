@@ -1,22 +1,27 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, names (capitalised inside a sentence) and units turn into typed
-placeholders, other words lose case and outer punctuation. Windows of template tokens are hashed, document
-windows are hash-joined with those of the benchmark, and matches are grouped by (document, item,
-displacement). Within a group every slot value of the item must stand for one value of the document; that
-tells a re-parameterised copy from chance. An item whose consistent windows cover enough of it is found.
+Words become template tokens: numbers, names (capitalised inside a sentence) and units turn into typed placeholders,
+other words lose case and outer punctuation. Windows of four tokens are hashed; names at sentence
+starts are words. A document and an item that share one are
+aligned at every displacement where they do: tokens are equal by word or by type, runs of three or more
+count, and at one displacement every slot value of the item must stand for one value of the document.
+An item is found if a passage holds at least half of its tokens (and eight, or all but one, of a short one),
+most of them as the same words, or one run of 13 tokens, or of eight that are a quarter of the item.
 
-The join runs on the document side against the benchmark's window hashes when their checked number is at
-most `in_memory`; past that, all windows are joined by a shuffle. Both give the same rows.
+The benchmark's index goes to the tasks when its checked number of windows is at most `in_memory`; past that,
+all windows are joined by a shuffle and the texts to the pairs found. Both give the same rows.
 
 Defined cases: null or empty texts match nothing, nor do items with fewer than `shortest` template tokens;
-items shorter than a window are windows of their own length; rows without doc_id or item_id take no part;
-rows of one doc_id, or of one item_id, count as one text each window; other columns are carried untouched.
+items shorter than `window` where all their tokens are held;
+rows without doc_id or item_id take no part; rows of one doc_id, or of one item_id, are texts of their own and
+give one row together; other columns are carried untouched.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -26,21 +31,32 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 WINDOW, SHORTEST, LITERALS, COVERAGE, CONSISTENT, IN_MEMORY = 8, 5, 0.6, 0.5, 0.75, 2_000_000
+#: Tokens of a seed window; fewest tokens of a run that count; a run that is enough by itself, always or as this share of the item.
+SEED, BLOCK, RUN, RUN_SHARE = 4, 3, 13, 0.25
 #: Units that stand after or inside a number.
 UNITS = frozenset("mm cm m km in ft yd mi g kg mg lb oz t l ml gal s sec min h hr hour hours minute minutes day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms pound pounds litre litres liter liters mph kmh kph hz khz mhz ghz kb mb gb tb px w kw v".split())
 NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([A-Za-z]{1,4})")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PLAIN, NUM, NAME, UNIT = 0, 1, 2, 3
-MATCHES = "doc_id long, window long, place long, slots array<string>"
+FOUND = "doc_id long, item_id long, n_tokens long, n_item_tokens long, longest_run long, coverage double"
 MASK = (1 << 64) - 1
 
 
+class How(NamedTuple):
+    window: int = WINDOW
+    shortest: int = SHORTEST
+    literals: float = LITERALS
+    coverage: float = COVERAGE
+    consistent: float = CONSISTENT
+    seed: int = SEED
+
+
 class Tokens(dict):
-    """chunk -> number; per number the token inside and at the start of a sentence, and whether it ends one."""
+    """chunk -> number; per number the hash of the word and of its type, the type, and whether it ends a sentence."""
 
     def __init__(self):
-        self.inner, self.first, self.kind, self.kind_first, self.stops, self.text = [], [], [], [], [], []
+        self.exact, self.typed, self.kind, self.stops = [], [], [], []
 
     def _kind(self, core: str) -> int:
         if NUMBER.fullmatch(core) or NUMBER_UNIT.fullmatch(core):
@@ -53,19 +69,16 @@ class Tokens(dict):
         whole = chunk.decode()
         core = EDGE.sub("", whole)
         kind = self._kind(core) if core else -1
-        code = lambda k: xxhash.xxh3_64_intdigest(core.lower().encode()) if k == PLAIN else (k + 1) * 0x9E3779B97F4A7C15 & MASK
-        first = PLAIN if kind == NAME else kind
-        n = self[chunk] = len(self.text)
-        self.inner.append(code(kind) if kind >= 0 else 0)
-        self.first.append(code(first) if kind >= 0 else 0)
+        exact = xxhash.xxh3_64_intdigest(core.lower().encode())
+        n = self[chunk] = len(self.kind)
+        self.exact.append(exact)
+        self.typed.append((kind + 1) * 0x9E3779B97F4A7C15 & MASK if kind > PLAIN else exact)
         self.kind.append(kind)
-        self.kind_first.append(first)
         self.stops.append(whole[-1:] in ".!?:" or whole[-2:-1] in (".", "!", "?"))
-        self.text.append(core)
         return n
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return np.array(self.inner, np.uint64), np.array(self.first, np.uint64), np.array(self.kind, np.int8), np.array(self.kind_first, np.int8), np.array(self.stops, bool)
+        return np.array(self.exact, np.uint64), np.array(self.typed, np.uint64), np.array(self.kind, np.int8), np.array(self.stops, bool)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -73,95 +86,213 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def templates(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts together: token hash, is it literal, number in `tokens`, and each text's token count."""
-    numbers, starts, sizes = [], [], []
-    for t in texts:
-        before = len(numbers)
-        for line in t.encode().split(b"\n"):
-            words = line.split()
-            if words:
-                starts.append(len(numbers))
-                numbers.extend(map(tokens.__getitem__, words))
-        sizes.append(len(numbers) - before)
-    n = np.array(numbers, np.int64)
-    inner, first, kind, kind_first, stops = tokens.arrays()
-    if not len(n):
-        return np.empty(0, np.uint64), np.empty(0, bool), n, np.zeros(len(texts), np.int64)
-    begin = np.concatenate([[True], stops[n[:-1]]])
-    begin[starts] = True
-    hashed, kinds = np.where(begin, first[n], inner[n]), np.where(begin, kind_first[n], kind[n])
-    real = kinds >= 0
-    of_text = np.repeat(np.arange(len(texts)), sizes)[real]
-    return hashed[real], kinds[real] == PLAIN, n[real], np.bincount(of_text, minlength=len(texts))
-
-
-def windows(hashed: np.ndarray, literal: np.ndarray, sizes: np.ndarray, width: int, literals: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window at each token, and whether it lies in one text with literals enough."""
-    n = len(hashed) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
+class Templates:
+    """The template tokens of all texts together: hash of the word, hash of the type; each text's token count."""
+
+    def __init__(self, texts: list[str], tokens: Tokens):
+        numbers, starts, sizes = [], [], []
+        for t in texts:
+            before = len(numbers)
+            for line in t.encode().split(b"\n"):
+                words = line.split()
+                if words:
+                    starts.append(len(numbers))
+                    numbers.extend(map(tokens.__getitem__, words))
+            sizes.append(len(numbers) - before)
+        n = np.array(numbers, np.int64)
+        exact, typed, kind, stops = tokens.arrays()
+        begin = np.zeros(len(n), bool)
+        if len(n):
+            begin[1:] = stops[n[:-1]]
+            begin[starts] = True
+            real = kind[n] >= 0
+            of_text = np.repeat(np.arange(len(texts)), sizes)[real]
+            n, begin, sizes = n[real], begin[real], np.bincount(of_text, minlength=len(texts))
+        self.exact, self.sizes = exact[n], np.array(sizes, np.int64)
+        self.typed = np.where(begin & (kind[n] == NAME), self.exact, typed[n])
+        self.before = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.of_text = np.repeat(np.arange(len(texts)), self.sizes)
+
+    def forms(self, width: int, literals: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hash of the window at each token, and whether it counts."""
+        if len(self.exact) < width:
+            return
+        n = len(self.exact) - width + 1
+        inside = self.of_text[:n] == self.of_text[width - 1 :]
+        for codes in (self.typed,):
+            known = np.concatenate([[0], np.cumsum(codes == self.exact)])
+            yield hashes(codes, width), inside & (known[width:] - known[:-width] >= literals * width)
+
+    def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.before[i], self.before[i + 1])
+        return self.exact[at], self.typed[at]
+
+
+def hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    n = len(codes) - width + 1
     h = np.full(n, width, np.uint64)
-    known = np.concatenate([[0], np.cumsum(literal)])
     for k in range(width):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + n])
-    of_text = np.repeat(np.arange(len(sizes)), sizes)
-    return h, (of_text[:n] == of_text[width - 1 :]) & (known[width:] - known[:-width] >= literals * width)
-
-
-def _find(docs: DataFrame, widths: list[int], wanted: np.ndarray | None, literals: float, whole: bool = False) -> DataFrame:
-    """Windows of every text; `wanted` (sorted hashes) leaves only those. `whole`: just texts as long as a width below the largest."""
-    bits = None
-    if wanted is not None:
-        bits = np.zeros(1 << 20, bool)
-        bits[(wanted >> np.uint64(44)).astype(np.int64)] = True
-
-    def rows(tokens: Tokens, ids: list, texts: list) -> dict[str, list]:
-        if len(tokens) > 1_500_000:
-            tokens.clear()
-            tokens.__init__()
-        hashed, literal, numbers, sizes = templates([t or "" if i is not None else "" for i, t in zip(ids, texts, strict=True)], tokens)
-        before = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        out: dict[str, list] = {"doc_id": [], "window": [], "place": [], "slots": []}
-        of_text = np.repeat(np.arange(len(sizes)), sizes)
-        for width in widths:
-            h, ok = windows(hashed, literal, sizes, width, literals)
-            if whole and width < max(widths):
-                ok &= sizes[of_text[: len(ok)]] == width
-            if bits is not None:
-                ok &= bits[(h >> np.uint64(44)).astype(np.int64)]
-            at = np.flatnonzero(ok)
-            if wanted is not None and len(at):
-                at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
-            for k in at.tolist():
-                i = of_text[k]
-                out["doc_id"].append(ids[i])
-                out["window"].append(int(h[k].astype(np.int64)))
-                out["place"].append(k - int(before[i]))
-                out["slots"].append([tokens.text[numbers[j]] for j in range(k, k + width) if not literal[j]])
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
+    return h
+
+
+def seeds_of(t: Templates, shortest: int, width: int, literals: float) -> Iterator[tuple[int, int, int]]:
+    """(text, hash, place) of the seed windows of items; none of items with fewer than `shortest` tokens."""
+    for h, ok in t.forms(width, literals):
+        at = np.flatnonzero(ok)
+        at = at[t.sizes[t.of_text[at]] >= shortest]
+        yield from zip(t.of_text[at].tolist(), h[at].tolist(), (at - t.before[t.of_text[at]]).tolist(), strict=True)
+
+
+class Index:
+    """Items by their seed windows."""
+
+    def __init__(self, ids: list, texts: list[str], how: How):
+        t = Templates(texts, Tokens())
+        found = sorted({(h, i, at) for i, h, at in seeds_of(t, how.shortest, how.seed, how.literals)})
+        self.ids, self.items = ids, [t.part(i) for i in range(len(texts))]
+        every = np.array([f[0] for f in found], np.uint64)
+        self.hashes, begin = np.unique(every, return_index=True)
+        self.begin = np.concatenate([begin, [len(every)]]).astype(np.int64)
+        self.item, self.place = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
+        self.widths = sorted({int(x) for x in t.sizes if 0 < x < how.shortest})
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def candidates(self, t: Templates, how: How) -> dict[tuple[int, int], set[int]]:
+        """(text, item) -> the displacements at which they share a seed window."""
+        out: dict[tuple[int, int], set[int]] = {}
+        if not len(self.hashes):
+            return out
+        for h, ok in windows(t, self.widths, how):
+            at = np.flatnonzero(ok & self.bits[(h >> np.uint64(44)).astype(np.int64)])
+            spot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            at, spot = at[self.hashes[spot] == h[at]], spot[self.hashes[spot] == h[at]]
+            of = t.of_text[at]
+            for i, place, s in zip(of.tolist(), (at - t.before[of]).tolist(), spot.tolist(), strict=True):
+                for k in range(self.begin[s], self.begin[s + 1]):
+                    out.setdefault((i, int(self.item[k])), set()).add(place - int(self.place[k]))
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), rows, MATCHES, lambda: (Tokens(),))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, literals: float = LITERALS, coverage: float = COVERAGE, consistent: float = CONSISTENT, in_memory: int = IN_MEMORY) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item, matched), n_item_windows, coverage."""
-    widths = list(range(shortest, window + 1))
-    items = _find(benchmark.select(F.col("item_id").alias("doc_id"), "text"), widths, None, literals, whole=True)
-    items = items.select(F.col("doc_id").alias("item_id"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_item_windows"))
-    wanted = None
-    hashes = items.select("window").distinct().limit(in_memory + 1).toArrow()["window"].to_numpy()
-    if len(hashes) <= in_memory:
-        wanted = np.sort(hashes.astype(np.int64).view(np.uint64))
-    if wanted is not None and not len(wanted):
-        wanted = np.array([0], np.uint64)
-    found = _find(docs, widths, wanted, literals).join(items, "window")
-    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    lined = found.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    steady = F.size("pairs") * consistent <= F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    hit = lined.where(steady).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"))
-    return hit.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_item_windows", (F.col("n_windows") / F.col("n_item_windows")).alias("coverage")).where(F.col("coverage") >= coverage)
+
+def windows(t: Templates, widths: list[int], how: How) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of documents: the seeds in all forms, and exact words for items as short as one of `widths`."""
+    yield from t.forms(how.seed, how.literals)
+    for width in widths:
+        if len(t.exact) >= width:
+            yield hashes(t.exact, width), t.of_text[: len(t.exact) - width + 1] == t.of_text[width - 1 :]
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], x.astype(np.int8), [0]])))
+    return edge[::2], edge[1::2]
+
+
+def judged(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], shifts: set[int], how: How) -> tuple[int, int] | None:
+    """Tokens of the item that an aligned passage of the document holds, and the longest run of them; None if not enough."""
+    (word, typed), (doc_word, doc_typed) = item, doc
+    n, lined, longest, most = len(word), [], 0, 0
+    if n < how.shortest:
+        whole = any(0 <= s <= len(doc_word) - n and np.array_equal(word, doc_word[s : s + n]) for s in shifts)
+        return (n, n) if whole else None
+    for s in sorted(shifts):
+        lo, hi = max(0, -s), min(n, len(doc_word) - s)
+        same = word[lo:hi] == doc_word[s + lo : s + hi]
+        equal = same | (typed[lo:hi] == doc_typed[s + lo : s + hi])
+        begin, end = runs(equal)
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            if b - a < BLOCK:
+                equal[a:b] = False
+        slot = np.flatnonzero(equal & (typed[lo:hi] != word[lo:hi]))
+        pairs = set(zip(word[lo:hi][slot].tolist(), doc_word[s + lo : s + hi][slot].tolist(), strict=True))
+        if len(pairs) * how.consistent > len({a for a, _ in pairs}):
+            continue
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            if b - a >= how.window and (b - a >= RUN or b - a >= RUN_SHARE * n):
+                known = np.concatenate([[0], np.cumsum(same[a:b])])
+                if (known[how.window :] - known[: -how.window]).max() >= how.literals * how.window:
+                    longest, most = max(longest, b - a), max(most, b - a)
+        lined.append((s, lo, hi, equal, same & equal))
+    least = max(how.coverage * n, min(n if n < how.window else n - 1, how.window))
+    first = 0
+    for k, (s, *_) in enumerate(lined):
+        while lined[first][0] < s - n // 2 - how.seed:
+            first += 1
+        held, exact = np.zeros(n, bool), np.zeros(n, bool)
+        for _, lo, hi, equal, same in lined[first : k + 1]:
+            held[lo:hi] |= equal
+            exact[lo:hi] |= same
+        if held.sum() >= least and exact.sum() >= how.literals * held.sum():
+            begin, end = runs(held)
+            most, longest = max(most, int(held.sum())), max(longest, int((end - begin).max()))
+        if most == n:
+            break
+    return (most, longest) if most else None
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, literals: float = LITERALS, coverage: float = COVERAGE, consistent: float = CONSISTENT, in_memory: int = IN_MEMORY, seed: int = SEED) -> DataFrame:
+    """doc_id, item_id, n_tokens (of the item, in a passage of the document), n_item_tokens, longest_run, coverage."""
+    how = How(window, shortest, literals, coverage, consistent, seed)
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+
+    def item_rows(tokens: Tokens, ids: list, texts: list) -> dict[str, list]:
+        t = Templates(texts, renewed(tokens))
+        found = list(seeds_of(t, how.shortest, how.seed, how.literals))
+        return {"item_id": [ids[i] for i, _, _ in found], "seed": [int(np.uint64(h).astype(np.int64)) for _, h, _ in found], "size": [int(t.sizes[i]) for i, _, _ in found]}
+
+    def row(doc_id: int, item_id: int, n: int, got: tuple[int, int]) -> tuple:
+        return doc_id, item_id, got[0], n, got[1], got[0] / n
+
+    seeds = arrow_map(items, item_rows, "item_id long, seed long, size long", lambda: (Tokens(),))
+    if seeds.limit(in_memory + 1).count() <= in_memory:
+        held = items.toArrow()
+        index = Index(held["item_id"].to_pylist(), held["text"].to_pylist(), how)
+
+        def rows(tokens: Tokens, ids: list, texts: list) -> dict[str, list]:
+            t = Templates(texts, renewed(tokens))
+            pairs = index.candidates(t, how).items()
+            return columns(row(ids[i], index.ids[k], len(index.items[k][0]), got) for (i, k), shifts in pairs if (got := judged(index.items[k], t.part(i), shifts, how)))
+
+        found = arrow_map(docs, rows, FOUND, lambda: (Tokens(),))
+    else:
+        widths = sorted(r["size"] for r in seeds.where(F.col("size") < shortest).select("size").distinct().collect())
+
+        def doc_rows(tokens: Tokens, ids: list, texts: list) -> dict[str, list]:
+            t = Templates(texts, renewed(tokens))
+            out: dict[str, list] = {"doc_id": [], "seed": []}
+            for h, ok in windows(t, widths, how):
+                at = np.flatnonzero(ok)
+                out["doc_id"] += [ids[i] for i in t.of_text[at].tolist()]
+                out["seed"] += h[at].astype(np.int64).tolist()
+            return out
+
+        def pair_rows(tokens: Tokens, ids: list, texts: list, item_ids: list, item_texts: list) -> dict[str, list]:
+            out, tokens = [], renewed(tokens)
+            for i, text, k, item in zip(ids, texts, item_ids, item_texts, strict=True):
+                t, index = Templates([text], tokens), Index([k], [item], how)
+                for shifts in index.candidates(t, how).values():
+                    if got := judged(index.items[0], t.part(0), shifts, how):
+                        out.append(row(i, k, len(index.items[0][0]), got))
+            return columns(out)
+
+        pairs = arrow_map(docs, doc_rows, "doc_id long, seed long", lambda: (Tokens(),)).distinct().join(seeds.select("item_id", "seed").distinct(), "seed").select("doc_id", "item_id").distinct()
+        texts = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "text", "item_id", "item_text")
+        found = arrow_map(texts, pair_rows, FOUND, lambda: (Tokens(),))
+    best = F.max(F.struct("coverage", "n_tokens", "n_item_tokens", "longest_run")).alias("x")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_tokens", "x.n_item_tokens", "x.longest_run", "x.coverage")
+
+
+def renewed(tokens: Tokens) -> Tokens:
+    if len(tokens) > 1_500_000:
+        tokens.clear()
+        tokens.__init__()
+    return tokens
+
+
+def columns(rows: Iterable[tuple]) -> dict[str, list]:
+    names, rows = [f.split()[0] for f in FOUND.split(", ")], list(rows)
+    return {name: [r[k] for r in rows] for k, name in enumerate(names)}
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
