@@ -326,6 +326,16 @@ def test_decontamination_of_edited_and_partial_copies(spark, in_memory):
     assert {r.doc_id for r in got.collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("in_memory", [2_000_000, 0])
+def test_decontamination_of_leading_names(spark, in_memory):
+    item = "Tom has 5 apples. Tom buys 7 apples. Tom eats 2 apples. How many are left?"
+    texts = [(1, item.replace("Tom", "Sam").replace("5", "6")), (2, item.replace(".", "")), (3, "Sam has 5 pears. Tom sold 7 plums. Bob ate 2 figs. How old are they?")]
+    led = "Tom ran home. Tom ate soup. Tom read books. Tom fed cats."
+    texts.append((4, led.replace("Tom", "Sam")))
+    got = op6_decontamination.contaminated(docs_of(spark, texts), spark.createDataFrame([(1, item), (2, led)], "item_id long, text string"), in_memory=in_memory)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 1), (4, 2)}
+
+
 # --- 7: secrets -------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, names (capitalised inside a sentence) and units turn into typed placeholders,
-other words lose case and outer punctuation. Windows of four tokens are hashed; names at sentence
-starts are words. A document and an item that share one are
+Words become template tokens: numbers, names (capitalised words) and units turn into typed placeholders,
+other words lose case and outer punctuation. Windows of four tokens are hashed, in two forms: names at
+sentence starts as words and as names. A document and an item that share one are
 aligned at every displacement where they do: tokens are equal by word or by type, runs of three or more
 count, and at one displacement every slot value of the item must stand for one value of the document.
 An item is found if a passage holds at least half of its tokens (and eight, or all but one, of a short one),
@@ -87,7 +87,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """The template tokens of all texts together: hash of the word, hash of the type; each text's token count."""
+    """The template tokens of all texts together: hash of the word, hash of the type, name at a sentence start; each text's token count."""
 
     def __init__(self, texts: list[str], tokens: Tokens):
         numbers, starts, sizes = [], [], []
@@ -108,18 +108,18 @@ class Templates:
             real = kind[n] >= 0
             of_text = np.repeat(np.arange(len(texts)), sizes)[real]
             n, begin, sizes = n[real], begin[real], np.bincount(of_text, minlength=len(texts))
-        self.exact, self.sizes = exact[n], np.array(sizes, np.int64)
-        self.typed = np.where(begin & (kind[n] == NAME), self.exact, typed[n])
+        self.exact, self.typed, self.sizes = exact[n], typed[n], np.array(sizes, np.int64)
+        self.leading = begin & (kind[n] == NAME)
         self.before = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.of_text = np.repeat(np.arange(len(texts)), self.sizes)
 
     def forms(self, width: int, literals: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Hash of the window at each token, and whether it counts."""
+        """Hash of the window at each token, and whether it counts: names at sentence starts as words and as names."""
         if len(self.exact) < width:
             return
         n = len(self.exact) - width + 1
         inside = self.of_text[:n] == self.of_text[width - 1 :]
-        for codes in (self.typed,):
+        for codes in (np.where(self.leading, self.exact, self.typed), self.typed):
             known = np.concatenate([[0], np.cumsum(codes == self.exact)])
             yield hashes(codes, width), inside & (known[width:] - known[:-width] >= literals * width)
 
