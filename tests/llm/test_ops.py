@@ -336,6 +336,14 @@ def test_decontamination_of_leading_names(spark, in_memory):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 1), (4, 2)}
 
 
+@pytest.mark.parametrize("in_memory", [2_000_000, 0])
+def test_decontamination_of_dense_and_short_items(spark, in_memory):
+    items = ["Compute 12 + 34 and 56 + 78 and 9 + 10 for Anna Smith 11 12.", "What is 12 + 34 * 5 - 6 / 2?", "Name three primes", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"]
+    texts = [(k, f"It asks: {t} And so on.") for k, t in enumerate(items)] + [(4, "What is 13 + 35 * 6 - 7 / 3?"), (5, "Name two primes, three of them"), (9, "\u6211\u5728\u5bb6" + items[3] + "\u5427")]
+    got = op6_decontamination.contaminated(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), in_memory=in_memory)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (9, 3)}
+
+
 # --- 7: secrets -------------------------------------------------------------------------------------
 
 

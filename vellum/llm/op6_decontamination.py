@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names (capitalised words) and units turn into typed placeholders,
-other words lose case and outer punctuation. Windows of four tokens are hashed, in two forms: names at
-sentence starts as words and as names. A document and an item that share one are
+other words lose case and outer punctuation. Windows of four tokens are hashed, in three forms: names at
+sentence starts as words, as names, and all tokens as words. A document and an item that share one are
 aligned at every displacement where they do: tokens are equal by word or by type, runs of three or more
 count, and at one displacement every slot value of the item must stand for one value of the document.
 An item is found if a passage holds at least half of its tokens (and eight, or all but one, of a short one),
@@ -11,10 +11,10 @@ most of them as the same words, or one run of 13 tokens, or of eight that are a
 The benchmark's index goes to the tasks when its checked number of windows is at most `in_memory`; past that,
 all windows are joined by a shuffle and the texts to the pairs found. Both give the same rows.
 
-Defined cases: null or empty texts match nothing, nor do items with fewer than `shortest` template tokens;
-items shorter than `window` where all their tokens are held;
+Defined cases: null or empty texts match nothing; items with fewer than `shortest` template tokens match where
+a document holds exactly their words in a row, items shorter than `window` where all their tokens are held;
 rows without doc_id or item_id take no part; rows of one doc_id, or of one item_id, are texts of their own and
-give one row together; other columns are carried untouched.
+give one row together; a character of a script without spaces is a word; other columns are carried untouched.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SEED, BLOCK, RUN, RUN_SHARE = 4, 3, 13, 0.25
 UNITS = frozenset("mm cm m km in ft yd mi g kg mg lb oz t l ml gal s sec min h hr hour hours minute minutes day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms pound pounds litre litres liter liters mph kmh kph hz khz mhz ghz kb mb gb tb px w kw v".split())
 NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([A-Za-z]{1,4})")
+#: Scripts written without spaces: every character is a word.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PLAIN, NUM, NAME, UNIT = 0, 1, 2, 3
 FOUND = "doc_id long, item_id long, n_tokens long, n_item_tokens long, longest_run long, coverage double"
@@ -93,6 +95,8 @@ class Templates:
         numbers, starts, sizes = [], [], []
         for t in texts:
             before = len(numbers)
+            if not t.isascii():
+                t = UNSPACED.sub(r" \g<0> ", t)
             for line in t.encode().split(b"\n"):
                 words = line.split()
                 if words:
@@ -114,7 +118,7 @@ class Templates:
         self.of_text = np.repeat(np.arange(len(texts)), self.sizes)
 
     def forms(self, width: int, literals: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Hash of the window at each token, and whether it counts: names at sentence starts as words and as names."""
+        """Hash of the window at each token, and whether it counts: names at sentence starts as words, as names, and all tokens as words."""
         if len(self.exact) < width:
             return
         n = len(self.exact) - width + 1
@@ -122,6 +126,7 @@ class Templates:
         for codes in (np.where(self.leading, self.exact, self.typed), self.typed):
             known = np.concatenate([[0], np.cumsum(codes == self.exact)])
             yield hashes(codes, width), inside & (known[width:] - known[:-width] >= literals * width)
+        yield hashes(self.exact, width), inside
 
     def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.before[i], self.before[i + 1])
@@ -137,11 +142,13 @@ def hashes(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def seeds_of(t: Templates, shortest: int, width: int, literals: float) -> Iterator[tuple[int, int, int]]:
-    """(text, hash, place) of the seed windows of items; none of items with fewer than `shortest` tokens."""
+    """(text, hash, place) of the seed windows of items; items with fewer than `shortest` tokens are one window of exact words."""
     for h, ok in t.forms(width, literals):
         at = np.flatnonzero(ok)
         at = at[t.sizes[t.of_text[at]] >= shortest]
         yield from zip(t.of_text[at].tolist(), h[at].tolist(), (at - t.before[t.of_text[at]]).tolist(), strict=True)
+    for i in np.flatnonzero((t.sizes > 0) & (t.sizes < shortest)).tolist():
+        yield i, int(hashes(t.part(i)[0], int(t.sizes[i]))[0]), 0
 
 
 class Index:
