@@ -379,6 +379,13 @@ def test_guess_costs_stand_in_order():
     assert cost("") == 0 and cost("a" * 20_000) > 0
 
 
+def test_brute_force_counts_the_alphabet_of_its_span():
+    words = op7_secrets.word_costs(VOCAB)
+    for t in ("pwd: Kx93mQzT", "login = xK9#mP2q"):
+        assert op7_secrets.listed(op7_secrets.spans_of(t, words)[1]).startswith("guess:"), t
+    assert not op7_secrets.spans_of("pwd: Summer19", words)[1] and not op7_secrets.spans_of("pwd: 83920174", words)[1]
+
+
 # --- 8: top-k ---------------------------------------------------------------------------------------
 
 

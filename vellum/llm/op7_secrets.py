@@ -1,7 +1,8 @@
 """Secret scan: fixed formats, and the guess cost of values that stand where a credential would.
 
 A value after a word such as "pwd" or "login" is cut into words, dates, repeats, keyboard walks and
-brute-force spans so that the total guess cost (log10 of guesses) is least; this is a dynamic program over
+brute-force spans (each costed by the alphabet it uses) so that the total guess cost (log10 of guesses) is
+least; this is a dynamic program over
 the value's positions. Values that even the best segmentation leaves costly are secrets. Words and their
 ranks come from a public vocabulary whose path is a parameter.
 
@@ -15,7 +16,8 @@ import hashlib
 import json
 import math
 import re
-from itertools import accumulate
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,8 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghij
 GUESS_LEAST, GUESS_COST = 8, 11.0
 LONGEST_WORD, LONGEST_SPAN = 24, 64
 SEGMENT = math.log10(2)
+#: Sizes of digits, lower-case letters, upper-case letters, other ASCII, all else.
+ALPHABETS = (10, 26, 26, 33, 1000)
 _words: dict[str, dict[str, float]] = {}
 
 
@@ -49,8 +53,12 @@ def word_costs(path: str) -> dict[str, float]:
     return _words[path]
 
 
+def char_class(c: str) -> int:
+    return 0 if c.isdigit() else (1 if c.islower() else 2) if c.isascii() and c.isalpha() else 3 if c.isascii() else 4
+
+
 def char_cost(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
+    return math.log10(ALPHABETS[char_class(c)])
 
 
 def date_cost(s: str) -> float | None:
@@ -85,9 +93,11 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
-    brute = [0.0, *accumulate(map(char_cost, value))]
+    kinds = [1 << char_class(c) for c in value]
+    used = reduce(or_, kinds, 0)
+    costs = {m: math.log10(sum(a for k, a in enumerate(ALPHABETS) if m >> k & 1)) for m in range(1, used + 1) if m & used == m}
+    brute = dict.fromkeys(costs, math.inf)  # of a span that ends here, by the classes its alphabet holds
     best = [0.0] + [math.inf] * n
-    free = 0.0  # the least best[j] - brute[j] of an earlier position: where a brute-force span may begin
     same = walk = 0
     way = 0
     for i in range(1, n + 1):
@@ -95,7 +105,9 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
         same = same + 1 if i > 1 and value[i - 1] == value[i - 2] else 1
         step = STEPS.get((low[i - 2], c), 0) if i > 1 else 0
         walk, way = (walk + 1, step) if step and (step == way or walk == 1) else (2, step) if step else (1, 0)
-        now = free + brute[i] + SEGMENT
+        for m, cost in costs.items():
+            brute[m] = min(brute[m], best[i - 1]) + cost if m & kinds[i - 1] else math.inf
+        now = min(brute.values()) + SEGMENT
         if same >= 3:
             for k in range(3, min(same, LONGEST_SPAN) + 1):
                 now = min(now, best[i - k] + char_cost(value[i - 1]) + math.log10(k) + SEGMENT)
@@ -114,7 +126,6 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
                 if k <= i and (cost := date_cost(value[i - k : i])) is not None:
                     now = min(now, best[i - k] + cost + SEGMENT)
         best[i] = now
-        free = min(free, best[i] - brute[i])
     return best[n]
 
 
