@@ -403,6 +403,20 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 3])
+def test_top_k_keeps_rows_of_a_repeated_id(spark, monkeypatch, shard_rows):
+    import duckdb
+    import pandas as pd
+
+    monkeypatch.setattr(op8_topk_search, "SHARD_ROWS", shard_rows)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in zip([*range(60), 7, 7, 20, 20, 20, 33], r.normal(size=(66, 4)), strict=True)]
+    got = op8_topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    assert sorted(map(tuple, got)) == sorted(con.execute(op8_topk_search.ORACLE_SQL).fetchall())
+
+
 def test_top_k_large_components_and_tree(spark, monkeypatch):
     monkeypatch.setattr(op8_topk_search, "SHARD_ROWS", 3)
     monkeypatch.setattr(op8_topk_search, "FAN_IN", 2)

@@ -7,8 +7,8 @@ tree of bounded fan-in. Products run in doubles where the bound on the sum shows
 Python's integers.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
-without vec_id; only vectors of equal dimension are compared; rows that repeat a vec_id count once, with
-the greatest vector; scores beyond a long are clipped to it; fewer than k candidates give all of them.
+without vec_id; only vectors of equal dimension are compared; rows that repeat a vec_id are all queries and
+candidates, never of one another, and only rows equal in both columns count once; scores beyond a long are clipped to it; fewer than k candidates give all of them.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def packed(vectors: DataFrame, parts: int, scale: float) -> DataFrame:
                 rows.append(v)
         yield from out()
 
-    dealt = vectors.withColumn("part", salt(F.col("vec_id"), parts)).repartition(parts, "part").sortWithinPartitions("part", "vec_id")
+    dealt = vectors.withColumn("part", salt(F.col("vec_id"), parts)).repartition(parts, "part").sortWithinPartitions("part", "vec_id", "embedding")
     return dealt.select("part", "vec_id", "embedding").mapInArrow(pack, PACKED)
 
 
@@ -62,13 +62,14 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
     exact = q.dtype != object and bound < EXACT
     if not exact and q.dtype != object:
         q, c = (np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape) for m in (q, c))
+    least = k + int(np.unique(c_ids, return_counts=True)[1].max(initial=1))  # the query's own rows fall out
     turned, order = c.T.copy(), np.arange(n - 1, -1, -1)
     for at in range(0, len(q), STEP_ROWS):
         scores = q[at : at + STEP_ROWS] @ turned
         if exact:
             keys = scores.astype(np.int64) * n + order  # distinct, and in the order that is asked for
             for own, row in zip(q_ids[at : at + STEP_ROWS].tolist(), keys, strict=True):
-                few = np.argpartition(row, n - k - 1)[n - k - 1 :] if n > k + 1 else np.arange(n)
+                few = np.argpartition(row, n - least)[n - least :] if n > least else np.arange(n)
                 few = few[np.argsort(row[few])[::-1]]
                 few = few[c_ids[few] != own][:k]
                 yield own, c_ids[few].tolist(), (row[few] // n).tolist()
@@ -81,7 +82,7 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score of the rows whose vec_id is divisible by `every`, against all rows."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", "embedding").distinct()
     asked = clean.where(F.col("vec_id") % every == 0)
     n, n_asked = vectors.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     shards, blocks = -(-max(n, 1) // SHARD_ROWS), -(-max(n_asked, 1) // BLOCK_ROWS)
