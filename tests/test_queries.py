@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -28,3 +31,23 @@ def test_query(spark, sf_dir, name):
     want = con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+def test_translate_chunks_cut_long_prose(spark, sf_dir):
+    """Against a plain version; the table holds paragraphs over 1500 characters."""
+
+    def plain(para: str) -> str:
+        if not re.search(r"[^\W\d_]", para):
+            return para
+        chunks, held = [], []
+        for s in re.split(r"(?<=[.!?])\s+", para) if len(para) > 1500 else [para]:
+            if held and sum(map(len, held)) + len(s) > 1500:
+                chunks.append(" ".join(held))
+                held = []
+            held.append(s)
+        return " ".join(f"[{c}]" for c in [*chunks, " ".join(held)])
+
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text is not None]
+    assert any(len(p) > 1500 for r in docs for p in r.text.split("\n"))
+    want = {(r.doc_id, hashlib.sha1("\n\n".join(map(plain, r.text.split("\n"))).encode()).hexdigest()) for r in docs}
+    assert {tuple(r) for r in QUERIES["translate_chunks"](spark, sf_dir).collect()} == want

@@ -232,6 +232,14 @@ def translate_units(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("doc_id").alias("page_id"), F.sha1(F.col("translated").cast("binary")).alias("text_key"))
 
 
+def translate_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """translate_units at the operator's own size, where long prose is cut at sentence ends (which its SQL does not do)."""
+    from .sources.fakes import bracketed
+
+    out = relations.translated(_paragraphed(spark, d), ["doc_id"], bracketed)
+    return out.select(F.col("doc_id").alias("page_id"), F.sha1(F.col("translated").cast("binary")).alias("text_key"))
+
+
 def _toc(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(project(_docs(spark, d)))
     t = profile.block_text(F.col("b"))
@@ -292,6 +300,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         layout_blocks, zone_overlap, zone_exclusion, zone_inclusion_first, margin_strip, width_class, column_intervals, column_splits, column_widest, column_assign, column_reorder,
         page_profile, fix_plan, fix_plan_override, block_markdown, reading_order, table_grid, table_markdown, legend_blocks, box_titles, box_dedup, box_pages, inclusion_reading, page_texts, glued_split,
-        text_normal_forms, header_keys, paragraph_units, sentence_chunks, translate_units, toc_parent, toc_asof, edit_overlay, latest_generation, debounce_last, cache_missing, clean_spans,
+        text_normal_forms, header_keys, paragraph_units, sentence_chunks, translate_units, translate_chunks, toc_parent, toc_asof, edit_overlay, latest_generation, debounce_last, cache_missing, clean_spans,
     )
 }
