@@ -1,20 +1,24 @@
 """PII by candidate gradient boosting.
 
-High-recall generators propose overlapping spans (runs of digits and separators, letter-digit codes,
-spelled-out mail addresses). Boosted trees over format and context features score them; a logistic
-calibration on examples that the trees have not seen gives probabilities, and the threshold is the least
-one that reaches the asked precision there. Spans over it are added to the base formats, which stay as
-they are. The trees are trained here, on examples made from value formats and contexts (`examples`).
-
-Defined cases: a null or empty text has no spans; every row is answered on its own, whatever its id;
-other columns are never read. Base formats are matched in linear time, also on very long runs.
+High-recall generators propose overlapping spans (runs of digits and separators, their parts between blanks,
+letter-digit codes, spelled-out mail addresses). Boosted trees over format and context features score them; a
+logistic calibration on examples that the trees have not seen gives probabilities, and the threshold is the
+least one that reaches the asked precision there. Of overlapping spans over it the likeliest are added to the
+base formats, which stay as they are. The trees are trained here, on examples made from value formats and
+contexts (`examples`).
+
+Defined cases: a null or empty text has no spans; every row is answered on its own, whatever its id, so that
+repeated rows, null ids and empty tables come back as they are; other columns are never read. Time is linear in
+the text, also for very long runs and very many spans; features are held for `HELD` candidates at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +36,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]|[\[(]at[\])]")
 #: Generators of candidates.
+SEPARATORS = " ().:/-"
+PLAIN = LOCAL - frozenset("._%+-")
 NUMBER = re.compile(r"[0-9](?:[ ().:/-]{0,2}[0-9])+")
 CODE = re.compile(r"(?<![A-Z])[A-Z]{1,3}[0-9]{2}[A-Z0-9]{5,32}(?![A-Za-z0-9])")
+PIECE = re.compile(r"[^ ]+")
 SPELLED = re.compile(r"\s?[\[(]at[\])]\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9-]+)+")
 #: Words that make a value more or less likely to be personal, by group.
 CONTEXT = {
@@ -43,7 +50,11 @@ CONTEXT = {
     "birth": ("born", "birth", "dob", "geboren", "nacid", "né le"),
     "other": ("order", "version", "isbn", "price", "page", "invoice", "ref", "score", "total", "chapter", "build", "$"),
 }
+HINTS = [re.compile("|".join(map(re.escape, words))) for words in CONTEXT.values()]
 CONTEXT_CHARS = 40
+#: Parts of a run: at most so many pieces between blanks, with so many digits.
+PIECES, LEAST_DIGITS, MOST_DIGITS = 5, 6, 19
+HELD = 20_000
 PRECISION = 0.95
 _model: list[Model] = []
 
@@ -91,23 +102,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
+def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """(generator, start, end); they may overlap each other and base spans."""
-    found = []
     for m in NUMBER.finditer(text):
         a, b = m.span()
-        if b - a >= 6 and sum(c.isdigit() for c in m[0]) >= 6:
-            while a > 0 and text[a - 1] in "(+":
-                a -= 1
-            found.append((0, a, b))
-    found += [(1, *m.span()) for m in CODE.finditer(text)]
+        run = m[0]
+        if len(run) >= LEAST_DIGITS and sum(map(str.isdigit, run)) >= LEAST_DIGITS:
+            yield 0, _opened(text, a), b
+            if " " in run:
+                yield from _parts(text, run, a)
+    for m in CODE.finditer(text):
+        yield 1, *m.span()
     for m in SPELLED.finditer(text) if "at" in text else ():
         a = m.start()
         while a > 0 and text[a - 1] in LOCAL:
             a -= 1
         if a < m.start():
-            found.append((2, a, m.end()))
-    return found
+            yield 2, a, m.end()
+
+
+def _opened(text: str, a: int) -> int:
+    """`a`, or the place of an opening mark right before it."""
+    while a > 0 and text[a - 1] in "(+":
+        a -= 1
+    return a
+
+
+def _parts(text: str, run: str, at: int) -> Iterator[tuple[int, int, int]]:
+    """The run's parts of up to `PIECES` neighbouring pieces between blanks, without the run itself."""
+    pieces = [(m.start(), m.end(), sum(map(str.isdigit, m[0]))) for m in PIECE.finditer(run)]
+    for i in range(len(pieces)):
+        digits = 0
+        for j in range(i, min(i + PIECES, len(pieces))):
+            digits += pieces[j][2]
+            if digits > MOST_DIGITS:
+                break
+            if digits >= LEAST_DIGITS and j - i + 1 < len(pieces):
+                end = pieces[j][1]
+                while run[end - 1] not in "0123456789":
+                    end -= 1
+                yield 0, _opened(text, at + pieces[i][0]), at + end
 
 
 def iban_ok(s: str) -> bool:
@@ -125,54 +159,74 @@ def dated(groups: list[str]) -> bool:
 
 def features(text: str, generator: int, a: int, b: int) -> list[float]:
     own, before = text[a:b], text[max(0, a - CONTEXT_CHARS) : a].lower()
-    digits = re.sub("[^0-9]", "", own)
     groups = re.findall("[0-9]+", own)
+    digits = "".join(groups)
+    left, right = text[max(0, a - 3) : a], text[b : b + 3]
     sizes = [len(g) for g in groups[:4]] + [0] * 4
-    separators = re.sub("[0-9A-Za-z]", "", own)
+    separators = set(own) - PLAIN
     return [
         float(generator), float(len(own)), float(len(digits)), float(len(groups)), *map(float, sizes[:4]),
-        float(len(set(separators))), float("." in separators), float("-" in separators), float("/" in separators), float(":" in separators), float("(" in own), float(own[:1] == "+"),
+        float(len(separators)), float("." in separators), float("-" in separators), float("/" in separators), float(":" in separators), float("(" in own), float(own[:1] == "+"),
         float(len(digits) >= 12 and luhn(digits[:32])), float(generator == 1 and iban_ok(own)), float(dated(groups)), float(len(set(digits))),
         float(a > 0 and text[a - 1].isalnum()), float(b < len(text) and text[b].isalnum()),
-        *(float(any(w in before for w in words)) for words in CONTEXT.values()),
+        float(left[len(left.rstrip(SEPARATORS)) - 1 : len(left.rstrip(SEPARATORS))].isdigit()), float(right.lstrip(SEPARATORS)[:1].isdigit()),
+        *(float(p.search(before) is not None) for p in HINTS),
     ]
 
 
 def examples(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Features and truth of `n` made values in made contexts."""
+    """Features and truth of candidates in about `n` made sentences: values that are personal, or not, in made contexts.
+
+    A candidate is true if it is the whole of a personal value; its parts, and runs that join it with a number
+    beside it, are not.
+    """
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     year, day, month = lambda: str(r.randint(1930, 2020)), lambda: f"{r.randint(1, 28):02}", lambda: f"{r.randint(1, 12):02}"
     name = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(3, 8)))
 
     def iban() -> str:
-        body = num(r.randint(14, 20))
-        check = 98 - int(body + "131400") % 97  # country DE
-        return f"DE{check:02}{body}"
+        country, body = r.choice(("DE", "FR", "GB", "ES", "IT", "NL")), num(r.randint(11, 23))
+        check = 98 - int(body + "".join(str(int(c, 36)) for c in country) + "00") % 97
+        return f"{country}{check:02}{body}"
+
+    def grouped(least: int, most: int) -> str:
+        """Groups of digits with one separator, as telephone numbers are written."""
+        sizes, mark = [r.randint(2, 4) for _ in range(r.randint(2, 5))], r.choice("  -./")
+        if not least <= sum(sizes) <= most:
+            return grouped(least, most)
+        return mark.join(map(num, sizes))
 
     yes = (
         (lambda: f"{num(3)}-{num(2)}-{num(4)}", "identity", 0.6), (lambda: f"({num(3)}) {num(3)}-{num(4)}", "phone", 0.6), (lambda: f"{num(3)}-{num(3)}-{num(4)}", "phone", 0.6),
-        (lambda: f"{num(3)} {num(3)} {num(4)}", "phone", 0.9), (iban, "bank", 0.5), (lambda: f"{day()}/{month()}/{year()}", "birth", 1.0), (lambda: f"{year()}-{month()}-{day()}", "birth", 1.0),
+        (lambda: grouped(7, 12), "phone", 1.0), (lambda: "0" + grouped(7, 11), "phone", 1.0), (lambda: num(r.randint(8, 11)), "phone", 1.0), (iban, "bank", 0.5),
+        (lambda: num(r.randint(8, 12)), "bank", 1.0), (lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", "bank", 1.0),
+        (lambda: f"{day()}{(c := r.choice('/.-'))}{month()}{c}{year()}", "birth", 1.0), (lambda: f"{year()}-{month()}-{day()}", "birth", 1.0),
         (lambda: f"{name()} [at] {name()} [dot] com", "phone", 0.1), (lambda: f"{name()}(at){name()}.org", "identity", 0.1), (lambda: r.choice("CLX") + num(8), "identity", 1.0),
+        (lambda: num(r.randint(8, 11)), "identity", 1.0), (lambda: grouped(8, 12), "identity", 1.0),
     )
     no = (
         (lambda: num(r.randint(6, 20)), "other", 0.5), (lambda: num(16), "other", 0.2), (lambda: ".".join(num(r.randint(1, 3)) for _ in range(r.randint(3, 6))), "other", 0.5),
-        (lambda: f"{year()}-{year()}", "other", 0.3), (lambda: f"{day()}/{month()}/{year()}", "other", 0.2), (lambda: f"{year()}-{month()}-{day()}", "other", 0.2),
+        (lambda: f"{year()}-{year()}", "other", 0.3), (lambda: f"{day()}/{month()}/{year()}", "other", 0.2), (lambda: f"{year()}-{month()}-{day()}", "other", 0.2), (lambda: f"{day()}.{month()}.{year()}", "other", 0.2),
         (lambda: " ".join(num(r.randint(1, 6)) for _ in range(r.randint(2, 6))), "other", 0.4), (lambda: "978" + num(10), "other", 0.7), (lambda: f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", "other", 0.5),
         (lambda: r.choice("ABCDEFG") + num(8), "other", 0.5), (lambda: f"{num(2)}:{num(2)}:{num(2)}", "other", 0.2), (lambda: "DE" + num(20), "other", 0.4), (lambda: f"{num(3)}-{num(4)}-{num(3)}", "other", 0.4),
+        (lambda: grouped(6, 14), "other", 0.5), (lambda: num(r.randint(1, 3)) + "".join("," + num(3) for _ in range(2)), "other", 0.3), (lambda: f"978-{num(1)}-{num(5)}-{num(3)}-{num(1)}", "other", 0.6),
     )
     x, y = [], []
-    while len(y) < n:
-        truth = r.random() < 0.45
+    for _ in range(n):
+        truth = r.random() < 0.5
         make, group, often = r.choice(yes if truth else no)
         value = make()
         hint = r.choice(CONTEXT[group]) if r.random() < often else ""
-        text = f"{' '.join(name() for _ in range(r.randint(0, 5)))} {hint}{r.choice((' ', ': ', ' no. ', ' '))}{value}{r.choice((' ', '. ', ', ', ''))}{name() if r.random() < 0.1 else ''} {name()}"
-        at = text.index(value)
+        before = f"{' '.join(name() for _ in range(r.randint(0, 5)))} {hint}{r.choice((' ', ': ', ' no. ', ' ', f' {name()} ', f' {name()} is '))}"
+        if r.random() < 0.15:
+            before += f"{r.choice(no)[0]()} "
+        after = r.choice((" ", ". ", ", ", "")) + (name() if r.random() < 0.1 else "") + (f" {num(r.randint(2, 5))}" if r.random() < 0.1 else "")
+        text, at = f"{before}{value}{after} {name()}", len(before)
         for g, a, b in candidates(text):
-            if a <= at and at + len(value) <= b + 1:
+            if a < at + len(value) and at < b:
                 x.append(features(text, g, a, b))
-                y.append(float(truth))
+                y.append(float(truth and a == at and b == at + len(value)))
     return np.array(x), np.array(y)
 
 
@@ -205,14 +259,22 @@ def train(n: int = 6000, precision: float = PRECISION) -> Model:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
     """Candidates over the threshold that no base span and no likelier candidate overlaps."""
-    found = [c for c in candidates(text) if all(c[2] <= a or b <= c[1] for _, a, b in base)]
-    if not found:
-        return []
-    p = model.probability(np.array([features(text, *c) for c in found]))
+    taken: bytearray | None = None
+    likely: list[tuple[float, int, int]] = []
+    found = candidates(text)
+    while some := list(itertools.islice(found, HELD)):
+        if taken is None:
+            taken = bytearray(len(text))
+            for _, a, b in base:
+                taken[a:b] = b"\x01" * (b - a)
+        some = [c for c in some if taken.find(1, c[1], c[2]) < 0]
+        if some:
+            p = model.probability(np.array([features(text, *c) for c in some]))
+            likely += [(-float(q), a, b) for q, (_, a, b) in zip(p, some, strict=True) if q >= model.threshold]
     kept: list[tuple[int, int, int]] = []
-    for k in np.argsort(-p, kind="stable"):
-        _, a, b = found[k]
-        if p[k] >= model.threshold and all(b <= s or e <= a for _, s, e in kept):
+    for _, a, b in sorted(likely):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\x01" * (b - a)
             kept.append((4, a, b))
     return kept
 
@@ -231,9 +293,9 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
             base.append(sorted(base_spans(t)) if some else [])
             more.append(added_spans(t, base[-1], own) if some else [])
         count = lambda k: [sum(x[0] == k for x in b) for b in base]
-        return {"doc_id": ids, **{f"n_{KINDS[k]}": count(k) for k in range(4)}, "base_sha256": [hashlib.sha256(listed(b).encode()).hexdigest() for b in base], "spans": [listed(b + a) for b, a in zip(base, more, strict=True)], "n_other": [len(a) for a in more]}
+        return {"doc_id": ids, **{f"n_{KINDS[k]}": count(k) for k in range(4)}, "base_sha256": [hashlib.sha256(listed(b).encode()).hexdigest() for b in base], "spans": [listed(b + a) for b, a in zip(base, more, strict=True)], "n_other": [len(a) for a in more], "n_pii": [len(a) + len(b) for a, b in zip(base, more, strict=True)]}
 
-    return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long")
+    return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long, n_pii long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

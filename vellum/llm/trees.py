@@ -18,13 +18,18 @@ class Node:
     right: Node | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if self.left is None:
-            return np.full(len(x), self.value)
-        low = x[:, self.feature] <= self.threshold
         out = np.empty(len(x))
-        out[low], out[~low] = self.left.scores(x[low]), self.right.scores(x[~low])
+        self._put(np.ascontiguousarray(x.T), np.arange(len(x)), out)
         return out
 
+    def _put(self, columns: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+        if self.left is None:
+            out[rows] = self.value
+        elif len(rows):
+            low = columns[self.feature][rows] <= self.threshold
+            self.left._put(columns, rows[low], out)
+            self.right._put(columns, rows[~low], out)
+
     def paths(self, so_far: tuple = ()) -> list[tuple]:
         """The conjunction that leads to every node below this one: (feature, is_low, threshold) each."""
         if self.left is None:
@@ -42,7 +47,11 @@ class Boosted:
     trees: list[Node] = field(default_factory=list)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.base + sum((t.scores(x) for t in self.trees), np.zeros(len(x)))
+        columns, rows, out, one = np.ascontiguousarray(x.T), np.arange(len(x)), np.full(len(x), self.base), np.empty(len(x))
+        for t in self.trees:
+            t._put(columns, rows, one)
+            out += one
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
