@@ -1,21 +1,32 @@
 """Secret scan: fixed formats, and the guess cost of values that stand where a credential would.
 
-A value after a word such as "pwd" or "login" is cut into words, dates, repeats, keyboard walks and
-brute-force spans (each costed by the alphabet it uses) so that the total guess cost (log10 of guesses) is
-least; this is a dynamic program over
-the value's positions. Values that even the best segmentation leaves costly are secrets. Words and their
-ranks come from a public vocabulary whose path is a parameter.
-
-Defined cases: a null or empty text has no spans; every row is answered on its own, whatever its id;
-other columns are never read.
+A value after a word such as "pwd" or "login" is cut into spans so that the total guess cost (log10 of
+guesses) is least; this is a dynamic program over the value's positions. Every span costs `SEGMENT` besides:
+- a word costs its rank in a public vocabulary (the path is a parameter), and the choice of its capitals; words
+  of the vocabulary with letters replaced by look-alike marks cost the choice of these besides;
+- a date costs the number of days or years it is one of;
+- a repeat is a block of up to `BLOCK` characters that stands twice or more (one character: three times); it
+  costs the block's own best segmentation and the number of times. It starts at one of the first `STARTS`
+  places of the run with that period, so that very long runs cost no more than their length;
+- a keyboard walk of three keys or more in one direction costs its start, way and length, and starts alike;
+- anything else is brute force, each character costed by the alphabet that its span uses.
+Values that even the best segmentation leaves costly are secrets. A value is not read on where no way to go on
+could be cheap enough, which bounds the work for long random values without changing the answer.
+
+Defined cases: a null or empty text has no spans; every row is answered on its own, whatever its id, so that
+repeated rows, null ids and empty tables come back as they are; other columns are never read. Time is linear
+in the text, also with very many spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import json
 import math
 import re
+from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
@@ -36,20 +47,29 @@ CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|key
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 #: A value needs so many characters and so costly a best segmentation.
 GUESS_LEAST, GUESS_COST = 8, 11.0
-LONGEST_WORD, LONGEST_SPAN = 24, 64
+BLOCK, STARTS, CHECK_EVERY = 16, 4, 32
+LONGEST_DATE = 10
 SEGMENT = math.log10(2)
 #: Sizes of digits, lower-case letters, upper-case letters, other ASCII, all else.
 ALPHABETS = (10, 26, 26, 33, 1000)
-_words: dict[str, dict[str, float]] = {}
+#: Marks that stand for letters.
+ALIKE = str.maketrans("4@301!$57", "aaeoiisst")
+_words: dict[str, Words] = {}
 
 
-def word_costs(path: str) -> dict[str, float]:
+class Words(dict):
     """log10 of the rank of every whole word of three letters or more, in order of the vocabulary."""
+
+    def __init__(self, ranked: Iterable[str]):
+        super().__init__({w: math.log10(i + 2) for i, w in enumerate(ranked)})
+        self.longest = max(map(len, self), default=0)
+
+
+def word_costs(path: str) -> Words:
     if path not in _words:
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        found = [w[:-4] for w in sorted(vocab, key=vocab.get) if w.endswith("</w>") and len(w) >= 7 and w[:-4].isalpha() and w.isascii()]
-        _words[path] = {w: math.log10(i + 2) for i, w in enumerate(found)}
+        _words[path] = Words(w[:-4] for w in sorted(vocab, key=vocab.get) if w.endswith("</w>") and len(w) >= 7 and w[:-4].isalpha() and w.isascii())
     return _words[path]
 
 
@@ -88,8 +108,32 @@ def _steps() -> dict[tuple[str, str], int]:
 STEPS = _steps()
 
 
-def guess_cost(value: str, words: dict[str, float]) -> float:
-    """Least total cost of a segmentation of `value`."""
+def word_cost(span: str, words: Words) -> float | None:
+    """Cost of a span as a word: its rank, its capitals and its look-alike marks; None if it is no word."""
+    low = span.lower()
+    marks = 0.0
+    cost = words.get(low)
+    if cost is None:
+        plain = low.translate(ALIKE)
+        if plain == low or len(plain) != len(span) or (cost := words.get(plain)) is None:
+            return None
+        marks = SEGMENT * sum(x != y for x, y in zip(low, plain, strict=True))
+    k, upper = len(span), sum(map(str.isupper, span))
+    if not upper:
+        return cost + marks
+    return cost + marks + (SEGMENT if upper == k or upper == 1 and span[0].isupper() else math.log10(math.comb(k, min(upper, k - upper)) + 1))
+
+
+def repeat_cost(block: str, times: int, words: Words) -> float:
+    return guess_cost(block, words) + math.log10(times)
+
+
+def walk_cost(length: int) -> float:
+    return math.log10(47 * 4 * length)
+
+
+def guess_cost(value: str, words: Words, enough: float = math.inf) -> float:
+    """Least total cost of a segmentation of `value`; any number of at least `enough` where that is not less."""
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
@@ -98,38 +142,55 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     costs = {m: math.log10(sum(a for k, a in enumerate(ALPHABETS) if m >> k & 1)) for m in range(1, used + 1) if m & used == m}
     brute = dict.fromkeys(costs, math.inf)  # of a span that ends here, by the classes its alphabet holds
     best = [0.0] + [math.inf] * n
-    same = walk = 0
-    way = 0
+    periods = range(1, min(BLOCK, n // 2) + 1)
+    begin = dict.fromkeys(periods, 0)  # where the run with that period begins that holds the last character
+    walk = way = 0  # likewise of the walk, and its direction
+    blocks: dict[tuple[int, str], float] = {}
+    longest = max(words.longest, LONGEST_DATE)
     for i in range(1, n + 1):
-        c = low[i - 1]
-        same = same + 1 if i > 1 and value[i - 1] == value[i - 2] else 1
-        step = STEPS.get((low[i - 2], c), 0) if i > 1 else 0
-        walk, way = (walk + 1, step) if step and (step == way or walk == 1) else (2, step) if step else (1, 0)
+        before = best[i - 1]
         for m, cost in costs.items():
-            brute[m] = min(brute[m], best[i - 1]) + cost if m & kinds[i - 1] else math.inf
+            brute[m] = min(brute[m], before) + cost if m & kinds[i - 1] else math.inf
         now = min(brute.values()) + SEGMENT
-        if same >= 3:
-            for k in range(3, min(same, LONGEST_SPAN) + 1):
-                now = min(now, best[i - k] + char_cost(value[i - 1]) + math.log10(k) + SEGMENT)
-        if walk >= 3:
-            for k in range(3, min(walk, LONGEST_SPAN) + 1):
-                now = min(now, best[i - k] + math.log10(47 * 4 * k) + SEGMENT)
-        if c.isalpha():
-            for k in range(3, min(i, LONGEST_WORD) + 1):
-                cost = words.get(low[i - k : i])
-                if cost is not None:
-                    upper = sum(x.isupper() for x in value[i - k : i])
-                    mixed = 0 if not upper else SEGMENT if upper == k or upper == 1 and value[i - k].isupper() else math.log10(math.comb(k, min(upper, k - upper)) + 1)
-                    now = min(now, best[i - k] + cost + mixed + SEGMENT)
-        elif c.isdigit():
+        for p in periods:
+            if i > p and value[i - 1] != value[i - 1 - p]:
+                begin[p] = i - p
+            elif i > p:
+                at = begin[p]
+                for s in range(at, min(at + STARTS, i)):
+                    times, rest = divmod(i - s, p)
+                    if rest or times < 2 + (p == 1):
+                        continue
+                    block = value[s : s + p]
+                    if (own := blocks.get((p, block))) is None:
+                        own = blocks[p, block] = guess_cost(block, words)
+                    now = min(now, best[s] + own + math.log10(times) + SEGMENT)
+        if i > 1:
+            step = STEPS.get((low[i - 2], low[i - 1]), 0)
+            if not step:
+                walk = i - 1
+            elif step != way:
+                walk = i - 2
+            way = step
+            for s in range(walk, min(walk + STARTS, i - 2)):
+                now = min(now, best[s] + walk_cost(i - s) + SEGMENT)
+        for k in range(3, min(i, words.longest) + 1):
+            if (cost := word_cost(value[i - k : i], words)) is not None:
+                now = min(now, best[i - k] + cost + SEGMENT)
+        if low[i - 1].isdigit():
             for k in (4, 8, 10):
                 if k <= i and (cost := date_cost(value[i - k : i])) is not None:
                     now = min(now, best[i - k] + cost + SEGMENT)
         best[i] = now
+        if i % CHECK_EVERY == 0 and i < n:
+            open_runs = [best[s] for at in {*begin.values(), walk} for s in range(at, min(at + STARTS, i))]
+            least = min([*best[max(0, i - longest - 2 * BLOCK) : i + 1], *brute.values(), *open_runs])
+            if least >= enough:
+                return least
     return best[n]
 
 
-def spans_of(text: str, words: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str, words: Words) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base and added spans as (start, place of kind, end)."""
     low = text.lower()
     base = []
@@ -138,15 +199,19 @@ def spans_of(text: str, words: dict[str, float]) -> tuple[list[tuple[int, int, i
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
     added = []
     if any(k in low for k in CONTEXT_KEYS):
+        ends = list(itertools.accumulate((e for _, _, e in base), max))
+        starts = [s for s, _, _ in base]
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
             while b > a and text[b - 1] in ".!?:)]}":
                 b -= 1
-            if b - a >= GUESS_LEAST and all(b <= s or e <= a for s, _, e in base) and guess_cost(text[a:b], words) >= GUESS_COST:
+            k = bisect.bisect_left(starts, b)  # base spans that start before the value ends
+            if b - a >= GUESS_LEAST and (not k or ends[k - 1] <= a) and guess_cost(text[a:b], words, GUESS_COST) >= GUESS_COST:
                 added.append((a, 3, b))
-    return sorted(base), added
+    return base, added
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -154,13 +219,13 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, vocab: str) -> DataFrame:
-    def rows(words: dict[str, float], ids: list, texts: list) -> dict[str, list]:
+    def rows(words: Words, ids: list, texts: list) -> dict[str, list]:
         found = [spans_of(t or "", words) for t in texts]
         base = [b for b, _ in found]
         count = lambda k: [sum(x[1] == k for x in b) for b in base]
-        return {"doc_id": ids, "n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_sha256": [hashlib.sha256(listed(b).encode()).hexdigest() for b in base], "spans": [listed(b + a) for b, a in found], "n_guess": [len(a) for _, a in found]}
+        return {"doc_id": ids, "n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_sha256": [hashlib.sha256(listed(b).encode()).hexdigest() for b in base], "spans": [listed(b + a) for b, a in found], "n_guess": [len(a) for _, a in found], "n_secret": [len(a) + len(b) for b, a in found]}
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, n_secret long"
     return arrow_map(docs.select("doc_id", "text"), rows, schema, lambda: (word_costs(vocab),))
 
 
