@@ -23,6 +23,27 @@ PLAIN = re.compile(f"[{LATIN}]+")
 SIMPLE = re.compile(f"[\x00-\x7f{LATIN}]+")
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
 NO_RANK = 1 << 60
+#: The settings of the vocabulary files that this module and the packer know.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+MODEL = {"type": "BPE", "end_of_word_suffix": WORD_END, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+
+
+def read_vocabulary(path: str) -> dict:
+    """The vocabulary file; one that normalises, splits or merges in another way is refused, since it would be counted wrongly."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    odd = [k for k, v in SETTINGS.items() if whole.get(k) != v] + [k for k, v in MODEL.items() if whole.get("model", {}).get(k) != v]
+    if sorted(t["content"] for t in whole.get("added_tokens", ())) != sorted(SPECIALS):
+        odd.append("added_tokens")
+    if odd:
+        raise ValueError(f"{path}: settings not known here: {', '.join(odd)}")
+    return whole
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,8 +65,7 @@ class State:
 
 class Transducer:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            whole = json.load(f)
+        whole = read_vocabulary(path)
         vocab, merges, letters = whole["model"]["vocab"], whole["model"]["merges"], byte_letters()
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.size = {}

@@ -1,27 +1,39 @@
 """Token counts by a compiled finite-state transducer (see `bpe`), composed over chunks.
 
-The state map of a chunk tells, for any state before it, the state after it and the tokens emitted.
-ASCII white space resets the transducer, so the map is determined by three parts: the bytes before the
-first white space (they finish whatever word was open), the count of the words between, and the bytes
-after the last white space (the word left open). Such maps form a monoid; a document's chunks are mapped
-independently and composed by a parallel-prefix tree, so no step needs more than one chunk and its maps.
+A text is cut into chunks of about `chunk_bytes`. The state map of a chunk takes the state before it to the
+state after it and the number of tokens emitted between. Chunks are mapped independently, for the states that
+may stand at their border, and maps are composed pair by pair, in a tree; the map of the whole text, applied to
+the start state, gives the count. A text of one chunk is the same with one map.
+
+A border is put where normalising and splitting see no further: behind white space or between two digits, where
+the only state is the start; else inside a run of letters, or of other characters, where the state is the
+transducer's and the byte that waits for its successor. The states expected there come from running up to the
+border from a little before it: transducers of this kind soon forget where they began. A state that was not
+expected is run through the chunk when it turns up, so that the count never depends on the guess. Maps hold
+states and numbers; a chunk's bytes are read from the text, never carried.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); every row is answered on its own, so
-repeated rows, ids and null ids come back as they are; other columns are never read.
+repeated rows, ids and null ids come back as they are, and an empty table gives no rows; other columns are never
+read. Special strings count as one token, as the library takes them. A vocabulary with other settings is refused.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import re
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import Transducer
+from .bpe import SPECIAL, State, Transducer
 from .common import arrow_map, table
 
 CHUNK_BYTES = 1 << 16
-SPACE = b" \t\n\r\x0b\x0c"
+#: Words whose counts a worker keeps; characters before a border from which its expected state is found.
+WORDS_HELD, RUN_UP = 600_000, 48
+BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 _compiled: dict[str, Counts] = {}
+#: A state inside a piece: the transducer's, and the byte that may be the piece's last. None: between pieces.
+Inside = tuple[State, int] | None
 
 
 class Counts(dict):
@@ -32,61 +44,136 @@ class Counts(dict):
 
     def __missing__(self, word: bytes) -> int:
         low = word.lower() if b"<|" not in word else word
-        if low is not word and low != word:
-            n = self[low]
-        else:
-            n = sum(1 if isinstance(p, int) else self.machine.count(p) for p in self.machine.pieces(word))
+        n = self[low] if low != word else sum(1 if isinstance(p, int) else self.machine.count(p) for p in self.machine.pieces(word))
         self[word] = n
         return n
 
-    def trim(self, most: int = 1_500_000) -> None:
+    def trim(self, most: int = WORDS_HELD) -> None:
         if len(self) > most:
             self.clear()
         self.machine.trim()
 
 
-class StateMap(NamedTuple):
-    """A chunk's map: `head` and `tail` are the open ends; without white space all is in `head` and `tail` is None."""
-
-    head: bytes
-    tokens: int
-    tail: bytes | None
-
-
-def state_map(chunk: bytes, counts: Counts) -> StateMap:
-    words = chunk.split()
-    if not words:
-        return StateMap(b"", 0, b"" if chunk else None)
-    head = b"" if chunk[:1] in SPACE else words[0]
-    if len(words) == 1 and head == chunk:
-        return StateMap(chunk, 0, None)
-    tail = b"" if chunk[-1:] in SPACE else words[-1]
-    return StateMap(head, sum(map(counts.__getitem__, words[bool(head) : len(words) - bool(tail)])), tail)
-
-
-def compose(a: StateMap, b: StateMap, counts: Counts) -> StateMap:
-    if a.tail is None:
-        return StateMap(a.head + b.head, b.tokens, b.tail)
-    if b.tail is None:
-        return StateMap(a.head, a.tokens, a.tail + b.head)
-    word = a.tail + b.head
-    return StateMap(a.head, a.tokens + b.tokens + (counts[word] if word else 0), b.tail)
-
-
-def prefix_scan(maps: list[StateMap], counts: Counts) -> list[StateMap]:
-    """All prefixes of `maps` composed, by the work-efficient pairing scheme."""
-    if len(maps) < 2:
-        return maps
-    pairs = prefix_scan([compose(maps[i], maps[i + 1], counts) for i in range(0, len(maps) - 1, 2)], counts)
-    return [maps[0] if i == 0 else pairs[i // 2] if i % 2 else compose(pairs[i // 2 - 1], maps[i], counts) for i in range(len(maps))]
-
-
-def tokens_of(raw: bytes, counts: Counts, chunk_bytes: int = CHUNK_BYTES) -> int:
-    if len(raw) <= chunk_bytes:
-        return sum(map(counts.__getitem__, raw.split()))
-    whole = prefix_scan([state_map(raw[i : i + chunk_bytes], counts) for i in range(0, len(raw), chunk_bytes)], counts)[-1]
-    ends = [w for w in (whole.head, whole.tail) if w]
-    return whole.tokens + sum(counts[w] for w in ends)
+def _class(c: str) -> str:
+    """Letter, number or other, for characters that no neighbour changes; empty for the rest."""
+    if not c.isascii() and (unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or len(c.lower()) != 1 or unicodedata.category(c)[0] == "M"):
+        return ""
+    return {"L": "L", "N": "N"}.get(unicodedata.category(c)[0], "" if c in "'<|>" or c.isspace() else "O")
+
+
+def border(text: str, at: int) -> tuple[int, bool]:
+    """The first place from `at` on where the text may be cut, and whether a piece goes on across it; the end if none."""
+    for k in range(max(at, 1), len(text)):
+        a, b = text[k - 1], text[k]
+        if a in " \t\n\r\x0b\x0c":
+            return k, False
+        x = _class(a)
+        if x and x == _class(b) and unicodedata.is_normalized("NFC", a + b):
+            if x == "N":
+                return k, False
+            if "'" not in text[max(0, k - 4) : k + 4] and not ("\u1100" <= b <= "\u11ff"):
+                return k, True
+    return len(text), False
+
+
+class ChunkMap:
+    """Entry state -> (exit state, tokens) of text[begin:end]; entries that were not expected are added when asked for."""
+
+    def __init__(self, text: str, begin: int, end: int, goes_on: bool, counts: Counts, expected: list[Inside]):
+        self.text, self.begin, self.end, self.goes_on, self.counts = text, begin, end, goes_on, counts
+        self.known: dict[Inside, tuple[Inside, int]] = {}
+        for state in expected:
+            self.known[state] = self._run(state)
+
+    def __call__(self, state: Inside) -> tuple[Inside, int]:
+        if state not in self.known:
+            self.known[state] = self._run(state)
+        return self.known[state]
+
+    def _run(self, state: Inside) -> tuple[Inside, int]:
+        machine, raw = self.counts.machine, self.text[self.begin : self.end].encode()
+        if state is None and not self.goes_on:
+            return None, sum(map(self.counts.__getitem__, raw.split()))
+        words, n = raw.split(), 0
+        first = machine.pieces(words[0]) if words and state is not None else []
+        if state is not None:
+            state, n = advanced(machine, state, first[0])
+            rest, words = first[1:], words[1:]
+            if rest or words or not self.goes_on:
+                n += machine.end(*state)[1]
+                state = None
+            if words or not self.goes_on:
+                n += sum(1 if isinstance(p, int) else machine.count(p) for p in rest)
+            elif rest:
+                words = [rest]
+        if not self.goes_on:
+            return None, n + sum(map(self.counts.__getitem__, words))
+        if words:
+            last = words[-1] if isinstance(words[-1], list) else machine.pieces(words[-1])
+            n += sum(map(self.counts.__getitem__, words[:-1]))
+            n += sum(1 if isinstance(p, int) else machine.count(p) for p in last[:-1])
+            state, m = advanced(machine, (machine.start, -1), last[-1])
+            n += m
+        return state, n
+
+
+def advanced(machine: Transducer, state: tuple[State, int], piece: bytes) -> tuple[tuple[State, int], int]:
+    """The state after the bytes of `piece`, of which the last waits, and the tokens emitted."""
+    now, held = state
+    n = 0
+    for byte in piece:
+        if held >= 0:
+            got = now.next.get(held) or machine.step(now, held)
+            now = got[0]
+            n += got[1]
+        held = byte
+    return (now, held), n
+
+
+class Composed:
+    """The map of two neighbouring stretches."""
+
+    def __init__(self, a: ChunkMap | Composed, b: ChunkMap | Composed):
+        self.a, self.b = a, b
+        self.known: dict[Inside, tuple[Inside, int]] = {}
+        for state in a.known:
+            self(state)
+
+    def __call__(self, state: Inside) -> tuple[Inside, int]:
+        if state not in self.known:
+            between, n = self.a(state)
+            after, m = self.b(between)
+            self.known[state] = after, n + m
+        return self.known[state]
+
+
+def state_maps(text: str, counts: Counts, chunk_bytes: int) -> list[ChunkMap]:
+    """The maps of a text's chunks, each made without the others."""
+    maps, begin, went_on = [], 0, False
+    while begin < len(text) or not maps:
+        end, goes_on = border(text, begin + chunk_bytes) if begin + chunk_bytes < len(text) else (len(text), False)
+        expected: list[Inside] = [None]
+        if went_on:
+            near = text[max(0, begin - RUN_UP) : begin]
+            piece = counts.machine.pieces(BLANK.split(near)[-1].encode())[-1]
+            expected = [advanced(counts.machine, (counts.machine.start, -1), piece)[0]]
+        maps.append(ChunkMap(text, begin, end, goes_on, counts, expected))
+        begin, went_on = end, goes_on
+    return maps
+
+
+def composed(maps: list) -> ChunkMap | Composed:
+    """All maps composed, neighbours first: the up-sweep of a prefix scan, as deep as the logarithm of the chunks."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
+def tokens_of(text: str, counts: Counts, chunk_bytes: int = CHUNK_BYTES) -> int:
+    n = 0
+    for k, part in enumerate(SPECIAL.split(text) if "<|" in text else (text,)):
+        n += 1 if k % 2 else composed(state_maps(part, counts, chunk_bytes))(None)[1]
+    return n
 
 
 def compiled(path: str) -> Counts:
@@ -100,9 +187,9 @@ def count_tokens(docs: DataFrame, vocab: str, limit: int = 2048, chunk_bytes: in
 
     def rows(counts: Counts, ids: list, texts: list) -> dict[str, list]:
         counts.trim()
-        raws = [(t or "").encode() for t in texts]
-        tokens = [tokens_of(r, counts, chunk_bytes) for r in raws]
-        return {"doc_id": ids, "n_bytes": [len(r) for r in raws], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
+        texts = [t or "" for t in texts]
+        tokens = [tokens_of(t, counts, chunk_bytes) for t in texts]
+        return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
 
     return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", lambda: (compiled(vocab),))
 

@@ -7,6 +7,8 @@
 3. Patterns give, for each length, ranges of ranks with a first sequence and an offset. Pieces are ranked
    within their length (salted, so that a common length is no hot key) and looked up in those ranges.
 
+A vocabulary whose settings are not those of `bpe.SETTINGS` is refused.
+
 Defined cases: a null or empty text is the end id alone; repeated rows and ids are pieces of their own
 (rows equal in every column are interchangeable); an empty table gives no rows.
 """
@@ -20,11 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import read_vocabulary
 from .common import arrow_map, checkpointed, salt, table
 
 DEPTH = 4096
 END_ID = 2
 BATCH_WORDS = 2000
+#: Words whose ids a worker keeps.
+WORDS_HELD = 600_000
 _loaded: dict[str, Words] = {}
 
 
@@ -34,6 +39,7 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        read_vocabulary(path)  # words are cut at white space, which holds for the settings known there
         self.library = Tokenizer.from_file(path)
         ends = [i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
@@ -71,7 +77,7 @@ class Words(dict):
             self[w] = self[low] + self[tail] if tail else self[low]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > 1_500_000:
+        if len(self) > WORDS_HELD:
             self.clear()
         split = [t.split() for t in texts]
         self.learn(list({w for words in split for w in words if w not in self}))
