@@ -41,17 +41,34 @@ def arrow_map(df: DataFrame, rows: Callable[..., dict[str, list]], schema: str,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where none is configured (tests)."""
+    """The folder that driver and executors share, from `spark.checkpoint.dir`.
+
+    Where it is not set, a local master (tests) gets a folder of its own; on a cluster that is an error, since
+    executors do not see each other's disks.
+    """
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="vellum-shared-")
-        sc.setCheckpointDir(at)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose key is not in `gone` (a key column of that name); null keys stay."""
+    own, other = docs.alias("__docs"), gone.select(F.col(key).alias("__key")).distinct().alias("__gone")
+    return own.join(other, F.col(f"__docs.{key}") == F.col("__gone.__key"), "left_anti")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

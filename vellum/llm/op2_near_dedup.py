@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, table
+from .common import arrow_map, checkpointed, salt, table, without
 from .components import components
 from .shingles import Signer, shingle_set, similar
 
 BANDS, ROWS, PERCENT, SMALL = 40, 4, 75, 32
-#: Bounds of the sample and of the table that order shingles by how common they are.
-ORDER_SAMPLE, ORDER_TABLE = 2000, 200_000
+#: Parts that rows of one set are dealt to.
+SALTS = 512
+#: The sample that orders shingles by how common they are: about so many sets at least, one of so many at least; bound of the table made from it.
+ORDER_SAMPLE, SPARSEST, ORDER_TABLE = 2000, 1000, 200_000
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -52,8 +54,23 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, bands array<long>", lambda: (Signer(bands, rows),))
 
 
+def _with_classes(signed: DataFrame, parts: int = SALTS) -> DataFrame:
+    """Adds `id`, the least doc_id of the rows with the same set (null without a set); band keys stay with that row only.
+
+    Rows are counted and joined by set and a salt of their doc_id, so that a set which a third of all rows hold
+    is split; rows without a set take no part in the join.
+    """
+    known = signed.where("set_id is not null").withColumn("salt", salt(F.col("doc_id"), parts))
+    each = known.groupBy("set_id", "salt").agg(F.min("doc_id").alias("least"))
+    classes = each.groupBy("set_id").agg(F.min("least").alias("id"))
+    found = known.join(each.join(classes, "set_id").select("set_id", "salt", "id"), ["set_id", "salt"])
+    bands = F.when(F.col("doc_id") == F.col("id"), F.col("bands"))
+    rest = signed.where("set_id is null").select("doc_id", "n_shingles", "set_id", F.lit(None).cast("long").alias("id"), "bands")
+    return found.select("doc_id", "n_shingles", "set_id", "id", bands.alias("bands")).union(rest)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, shingles of the classes in `wanted` (id, set_id), from the text of the class's least document."""
+    """id, set_id, shingles of the classes in `wanted` (id, set_id), from the text of the class's least document."""
 
     def run(ids: list, texts: list, set_ids: list) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "set_id": [], "shingles": []}
@@ -64,13 +81,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out[k].append(v)
         return out
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).select("id", "text", "set_id")
+    own, other = docs.select("doc_id", "text").alias("d"), wanted.alias("w")
+    texts = own.join(other, F.col("d.doc_id") == F.col("w.id")).select("w.id", "d.text", "w.set_id")
     return arrow_map(texts, run, "id long, set_id binary, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("u", "v"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int = 16) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough.
+
+    v is often the centre of a star with many members: pairs are salted by u, and the set of v goes to those
+    salts that occur.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,24 +99,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+    pairs = pairs.withColumn("salt", salt(F.col("u"), parts))
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("u_set"))
+    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("v_set")).join(pairs.select("v", "salt").distinct(), "v")
+    return pairs.join(left, "u").join(right, ["v", "salt"]).select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+
+
+COUNTS = "part int, shingles binary, counts binary"
 
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of `rows`, sorted, with their counts. Sample and table are bounded;
-    they only set an order of shingles, which is exact whatever it is and fast when common ones come last."""
-    some = rows.select("id").distinct().orderBy(F.xxhash64("id")).limit(ORDER_SAMPLE)
+    """Shingles that are common in a sample of `rows`, sorted, with their counts.
+
+    The sample grows with the input: every `SPARSEST`-th set by a hash of its id, or more often, so that there are about
+    `ORDER_SAMPLE` of them at least. Counts are added by ranges of shingles, as packed arrays; each range gives its
+    share of the `ORDER_TABLE` most common. They only set an order of shingles, which is exact whatever it is and
+    fast when common ones come last.
+    """
+    n = rows.count()
+    rate = max(1, min(SPARSEST, n // ORDER_SAMPLE))
+    parts = 1 + n // rate // 1000
 
     def counted(raws: list) -> dict[str, list]:
-        shingles, n = np.unique(np.concatenate([np.frombuffer(r, np.int64) for r in raws]) if raws else np.empty(0, np.int64), return_counts=True)
-        return {"shingle": shingles[n > 1], "n": n[n > 1]}
+        shingles, times = np.unique(np.concatenate([np.frombuffer(r, np.int64) for r in raws]) if raws else np.empty(0, np.int64), return_counts=True)
+        cuts = np.searchsorted(shingles.astype(np.float64), np.linspace(-(2.0**63), 2.0**63, parts + 1)[1:-1])
+        found = [(k, x.tobytes(), y.astype("<i8").tobytes()) for k, (x, y) in enumerate(zip(np.split(shingles, cuts), np.split(times, cuts), strict=True)) if len(x)]
+        return {name: [f[k] for f in found] for k, name in enumerate(("part", "shingles", "counts"))}
 
-    few = rows.join(F.broadcast(some), "id").select("shingles").repartition(1 + ORDER_SAMPLE // 1000)
-    each = arrow_map(few, counted, "shingle long, n long")
-    got = each.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDER_TABLE).toArrow()
-    keys, counts = (got[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                if part in held:
+                    x, y = np.concatenate([held[part][0], x]), np.concatenate([held[part][1], y])
+                keys, at = np.unique(x, return_inverse=True)
+                held[part] = keys, np.bincount(at, y).astype(np.int64)
+        for part, (keys, times) in held.items():
+            top = np.lexsort((keys, -times))[: ORDER_TABLE // parts + 1]
+            top = np.sort(top[times[top] > 1])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys[top].tobytes()], pa.binary()), pa.array([times[top].tobytes()], pa.binary())], names=["part", "shingles", "counts"])
+
+    few = rows.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("shingles").repartition(parts)
+    got = arrow_map(few, counted, COUNTS).repartition(parts, "part").mapInArrow(added, COUNTS).orderBy("part").toArrow()
+    whole = [np.frombuffer(b"".join(got[c].to_pylist()), np.int64) for c in ("shingles", "counts")]
+    return whole[0], whole[1]
 
 
 def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -135,17 +183,16 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    signed = checkpointed(signatures(docs, bands, rows))
-    known = signed.where(F.col("set_id").isNotNull())
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    members = checkpointed(classes.select("id", "set_id", F.explode("bands").alias("key")))
-    keys = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(members.join(keys, "key").select("key", "id", "set_id", "least", "n"))
-
-    sets = checkpointed(_sets(docs, shared.select("id", "set_id").distinct()).dropDuplicates(["id", "set_id"]))
-    own = known.select("doc_id", "set_id").join(classes.select("set_id", "id"), "set_id").select("doc_id", "id")
-    ends = own.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("u")).where("u > v")
-    same_id = own.join(ends.select("doc_id", "v"), "doc_id").select(F.col("id").alias("u"), "v").where("u > v")
+    signed = checkpointed(_with_classes(checkpointed(signatures(docs, bands, rows))))
+    classes = signed.where(F.col("doc_id") == F.col("id"))
+    members = classes.select("id", F.explode("bands").alias("key"))
+    keys = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    shared = checkpointed(members.join(keys, "key").select("key", "id", "least", "n"))
+
+    wanted = classes.select("id", "set_id").join(shared.select("id").distinct(), "id").distinct()
+    sets = checkpointed(_sets(docs, wanted).dropDuplicates(["id", "set_id"]))
+    ends = signed.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("u")).where("u > v")
+    same_id = signed.select("doc_id", "id").join(ends.select("doc_id", "v"), "doc_id").select(F.col("id").alias("u"), "v").where("u > v")
 
     stars = shared.where("id > least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     first = checkpointed(_verified(stars, sets, percent).union(same_id).distinct())
@@ -161,15 +208,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     second = _verified(pairs.union(_prefix_pairs(many, percent)).distinct(), sets, percent)
     parts = components(first.union(second))
 
-    whole = classes.select("set_id", "id").join(parts, F.col("id") == F.col("node"), "left").select("set_id", F.coalesce("component", "id").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    return signed.select("doc_id", "n_shingles", "set_id").join(whole, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    own = signed.select("doc_id", "n_shingles", "id", salt(F.col("doc_id"), SALTS).alias("salt"))
+    moved = own.select("id", "salt").distinct().join(parts, F.col("id") == F.col("node")).select("id", "salt", "component")
+    component = F.coalesce("component", "id", "doc_id")
+    return own.join(moved, ["id", "salt"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     """The rows of `docs` whose document stays, with their columns."""
-    gone = near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, near_duplicates(docs, **how).where(~F.col("kept")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
