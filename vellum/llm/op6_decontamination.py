@@ -6,14 +6,17 @@ sentence starts as words, as names, and all tokens as words. A document and an i
 aligned at every displacement where they do: tokens are equal by word or by type, runs of three or more
 count, and at one displacement every slot value of the item must stand for one value of the document.
 An item is found if a passage holds at least half of its tokens (and eight, or all but one, of a short one),
-most of them as the same words, or one run of 13 tokens, or of eight that are a quarter of the item.
+most of them as the same words, or one run of 13 tokens, or of eight that are a quarter of the item; or if it
+holds nearly all of its template, with a third of that as the same words (three at least): a re-parameterised
+question. Items that have no seed window of mostly words (dense in numbers and names) are sought by windows of
+eight tokens, or the whole of a shorter one, with two words; items without words are found word for word.
 
 The benchmark's index goes to the tasks when its checked number of windows is at most `in_memory`; past that,
 all windows are joined by a shuffle and the texts to the pairs found. Both give the same rows.
 
 Defined cases: null or empty texts match nothing; items with fewer than `shortest` template tokens match where
 a document holds exactly their words in a row, items shorter than `window` where all their tokens are held;
-rows without doc_id or item_id take no part; rows of one doc_id, or of one item_id, are texts of their own and
+items without tokens match nothing (`unsearchable` lists them); rows without doc_id or item_id take no part; rows of one doc_id, or of one item_id, are texts of their own and
 give one row together; a character of a script without spaces is a word; other columns are carried untouched.
 """
 
@@ -28,11 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, table, without
 
 WINDOW, SHORTEST, LITERALS, COVERAGE, CONSISTENT, IN_MEMORY = 8, 5, 0.6, 0.5, 0.75, 2_000_000
 #: Tokens of a seed window; fewest tokens of a run that count; a run that is enough by itself, always or as this share of the item.
 SEED, BLOCK, RUN, RUN_SHARE = 4, 3, 13, 0.25
+#: Seed windows of items dense in slots: tokens and least words. A whole template: its share of the item, share and number of same words, least tokens.
+WIDE, WIDE_WORDS, WHOLE, WHOLE_SHARE, WHOLE_WORDS, WHOLE_LEAST = 8, 2, 0.9, 0.3, 3, 6
+#: Template tokens that a worker keeps.
+TOKENS_HELD = 500_000
 #: Units that stand after or inside a number.
 UNITS = frozenset("mm cm m km in ft yd mi g kg mg lb oz t l ml gal s sec min h hr hour hours minute minutes day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms pound pounds litre litres liter liters mph kmh kph hz khz mhz ghz kb mb gb tb px w kw v".split())
 NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
@@ -119,14 +126,21 @@ class Templates:
 
     def forms(self, width: int, literals: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Hash of the window at each token, and whether it counts: names at sentence starts as words, as names, and all tokens as words."""
+        yield from self.typed_forms(width, literals * width)
+        if len(self.exact) >= width:
+            yield hashes(self.exact, width), self.inside(width)
+
+    def typed_forms(self, width: int, words: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The first two forms; windows with fewer than `words` words do not count."""
         if len(self.exact) < width:
             return
-        n = len(self.exact) - width + 1
-        inside = self.of_text[:n] == self.of_text[width - 1 :]
+        inside = self.inside(width)
         for codes in (np.where(self.leading, self.exact, self.typed), self.typed):
             known = np.concatenate([[0], np.cumsum(codes == self.exact)])
-            yield hashes(codes, width), inside & (known[width:] - known[:-width] >= literals * width)
-        yield hashes(self.exact, width), inside
+            yield hashes(codes, width), inside & (known[width:] - known[:-width] >= words)
+
+    def inside(self, width: int) -> np.ndarray:
+        return self.of_text[: len(self.exact) - width + 1] == self.of_text[width - 1 :]
 
     def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.before[i], self.before[i + 1])
@@ -141,14 +155,26 @@ def hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def seeds_of(t: Templates, shortest: int, width: int, literals: float) -> Iterator[tuple[int, int, int]]:
-    """(text, hash, place) of the seed windows of items; items with fewer than `shortest` tokens are one window of exact words."""
-    for h, ok in t.forms(width, literals):
+def seeds_of(t: Templates, how: How) -> Iterator[tuple[int, int, int, int]]:
+    """(text, hash, place, kind) of the seed windows of items. Kind 0: `how.seed` tokens; above: the whole of an item
+    with fewer than `how.shortest` tokens, as words; below: minus the width of a wide window, for items without
+    a typed window of the first kind."""
+    long = t.sizes >= how.shortest
+    dense = long.copy()
+    for k, (h, ok) in enumerate(t.forms(how.seed, how.literals)):
         at = np.flatnonzero(ok)
-        at = at[t.sizes[t.of_text[at]] >= shortest]
-        yield from zip(t.of_text[at].tolist(), h[at].tolist(), (at - t.before[t.of_text[at]]).tolist(), strict=True)
-    for i in np.flatnonzero((t.sizes > 0) & (t.sizes < shortest)).tolist():
-        yield i, int(hashes(t.part(i)[0], int(t.sizes[i]))[0]), 0
+        at = at[long[t.of_text[at]]]
+        if k < 2:
+            dense[t.of_text[at]] = False
+        yield from ((i, x, place, 0) for i, x, place in zip(t.of_text[at].tolist(), h[at].tolist(), (at - t.before[t.of_text[at]]).tolist(), strict=True))
+    for width in sorted({min(WIDE, int(x)) for x in t.sizes[dense]}):
+        own = dense & (np.minimum(t.sizes, WIDE) == width)
+        for h, ok in t.typed_forms(width, WIDE_WORDS):
+            at = np.flatnonzero(ok)
+            at = at[own[t.of_text[at]]]
+            yield from ((i, x, place, -width) for i, x, place in zip(t.of_text[at].tolist(), h[at].tolist(), (at - t.before[t.of_text[at]]).tolist(), strict=True))
+    for i in np.flatnonzero((t.sizes > 0) & ~long).tolist():
+        yield i, int(hashes(t.part(i)[0], int(t.sizes[i]))[0]), 0, int(t.sizes[i])
 
 
 class Index:
@@ -156,13 +182,14 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str], how: How):
         t = Templates(texts, Tokens())
-        found = sorted({(h, i, at) for i, h, at in seeds_of(t, how.shortest, how.seed, how.literals)})
+        seeds = list(seeds_of(t, how))
+        found = sorted({(h, i, at) for i, h, at, _ in seeds})
         self.ids, self.items = ids, [t.part(i) for i in range(len(texts))]
         every = np.array([f[0] for f in found], np.uint64)
         self.hashes, begin = np.unique(every, return_index=True)
         self.begin = np.concatenate([begin, [len(every)]]).astype(np.int64)
         self.item, self.place = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
-        self.widths = sorted({int(x) for x in t.sizes if 0 < x < how.shortest})
+        self.widths = sorted({kind for *_, kind in seeds} - {0})
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -183,11 +210,13 @@ class Index:
 
 
 def windows(t: Templates, widths: list[int], how: How) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of documents: the seeds in all forms, and exact words for items as short as one of `widths`."""
+    """Windows of documents: the seeds in all forms, and those of the other kinds that items have."""
     yield from t.forms(how.seed, how.literals)
     for width in widths:
-        if len(t.exact) >= width:
-            yield hashes(t.exact, width), t.of_text[: len(t.exact) - width + 1] == t.of_text[width - 1 :]
+        if width < 0:
+            yield from t.typed_forms(-width, WIDE_WORDS)
+        elif len(t.exact) >= width:
+            yield hashes(t.exact, width), t.inside(width)
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +258,8 @@ def judged(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarra
         for _, lo, hi, equal, same in lined[first : k + 1]:
             held[lo:hi] |= equal
             exact[lo:hi] |= same
-        if held.sum() >= least and exact.sum() >= how.literals * held.sum():
+        whole = n >= WHOLE_LEAST and held.sum() >= WHOLE * n and exact.sum() >= max(WHOLE_WORDS, WHOLE_SHARE * held.sum())
+        if whole or held.sum() >= least and exact.sum() >= how.literals * held.sum():
             begin, end = runs(held)
             most, longest = max(most, int(held.sum())), max(longest, int((end - begin).max()))
         if most == n:
@@ -245,13 +275,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     def item_rows(tokens: Tokens, ids: list, texts: list) -> dict[str, list]:
         t = Templates(texts, renewed(tokens))
-        found = list(seeds_of(t, how.shortest, how.seed, how.literals))
-        return {"item_id": [ids[i] for i, _, _ in found], "seed": [int(np.uint64(h).astype(np.int64)) for _, h, _ in found], "size": [int(t.sizes[i]) for i, _, _ in found]}
+        found = list(seeds_of(t, how))
+        return {"item_id": [ids[f[0]] for f in found], "seed": [int(np.uint64(f[1]).astype(np.int64)) for f in found], "kind": [f[3] for f in found]}
 
     def row(doc_id: int, item_id: int, n: int, got: tuple[int, int]) -> tuple:
         return doc_id, item_id, got[0], n, got[1], got[0] / n
 
-    seeds = arrow_map(items, item_rows, "item_id long, seed long, size long", lambda: (Tokens(),))
+    seeds = arrow_map(items, item_rows, "item_id long, seed long, kind long", lambda: (Tokens(),))
     if seeds.limit(in_memory + 1).count() <= in_memory:
         held = items.toArrow()
         index = Index(held["item_id"].to_pylist(), held["text"].to_pylist(), how)
@@ -263,7 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
         found = arrow_map(docs, rows, FOUND, lambda: (Tokens(),))
     else:
-        widths = sorted(r["size"] for r in seeds.where(F.col("size") < shortest).select("size").distinct().collect())
+        widths = sorted(r["kind"] for r in seeds.where("kind <> 0").select("kind").distinct().collect())
 
         def doc_rows(tokens: Tokens, ids: list, texts: list) -> dict[str, list]:
             t = Templates(texts, renewed(tokens))
@@ -290,8 +320,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_tokens", "x.n_item_tokens", "x.longest_run", "x.coverage")
 
 
+def unsearchable(benchmark: DataFrame) -> DataFrame:
+    """item_id of the items that nothing can match: null or blank texts, or marks alone."""
+
+    def rows(ids: list, texts: list) -> dict[str, list]:
+        sizes = Templates([t or "" for t in texts], Tokens()).sizes
+        return {"item_id": [i for i, n in zip(ids, sizes.tolist(), strict=True) if not n]}
+
+    return arrow_map(benchmark.select("item_id", "text"), rows, "item_id long")
+
+
 def renewed(tokens: Tokens) -> Tokens:
-    if len(tokens) > 1_500_000:
+    if len(tokens) > TOKENS_HELD:
         tokens.clear()
         tokens.__init__()
     return tokens
@@ -304,8 +344,7 @@ def columns(rows: Iterable[tuple]) -> dict[str, list]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
     """The rows of `docs` without a contaminated doc_id, with their columns."""
-    hit = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, **how))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
