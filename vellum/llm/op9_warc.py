@@ -8,7 +8,8 @@ in the result: only files named in the (checkpointed) manifest are read back.
 
 Defined cases: a null html is an empty payload; a null url has no target header; rows without page_id are
 responses of their own; rows that repeat a page_id with one payload are all responses when that id is the
-largest. Line breaks in a url are percent-encoded.
+largest. Line breaks in a url are percent-encoded; an empty table gives no archives and no rows; other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:vellum:page:"
 DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLE_RECORD_BYTES, ARCHIVE_BYTES = 1 << 15, 1 << 20, 1 << 14, 64 << 20
+#: Parts that pages of one payload are dealt to.
+SALTS = 256
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -102,11 +105,18 @@ class Archive:
         return self.path, self.records, self.bytes
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to (null: a response)."""
-    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    many = base.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("page_id").alias("n")).where("n > 1").drop("n")
-    return base.join(many, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("refers_to"))
+def revisits(pages: DataFrame, parts: int = SALTS) -> DataFrame:
+    """page_id, url, html and refers_to (null: a response).
+
+    Repeated payloads are found from digests and ids alone, and joined by digest and a salt of the id: a payload
+    that a third of all pages hold is dealt to many tasks and archives.
+    """
+    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    base = base.select("*", F.unhex(F.sha1("html")).alias("digest"), F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int").alias("salt"))
+    each = base.groupBy("digest", "salt").agg(F.max("page_id").alias("largest"), F.count("page_id").alias("n"))
+    many = each.groupBy("digest").agg(F.max("largest").alias("largest"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    known = each.select("digest", "salt").join(many, "digest")
+    return base.join(known, ["digest", "salt"], "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
@@ -119,17 +129,24 @@ def write(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
         files, top = FileSystem.from_uri(folder)
         files.create_dir(top, recursive=True)
         task, done, archive = TaskContext.get(), [], None
-        for batch in batches:
-            ids, urls, htmls, refers = batch.columns
-            for at in range(batch.num_rows):
-                if archive is None:
-                    archive = Archive(files, f"{top}/part-{task.partitionId():06}-{task.taskAttemptId()}-{len(done):04}.warc.zst", level)
-                archive.add(record(ids[at].as_py(), urls[at].as_py(), htmls[at].as_py().encode(), refers[at].as_py()))
-                if archive.bytes >= ARCHIVE_BYTES:
-                    done.append(archive.close())
-                    archive = None
-        if archive:
-            done.append(archive.close())
+        try:
+            for batch in batches:
+                ids, urls, htmls, refers = batch.columns
+                for at in range(batch.num_rows):
+                    if archive is None:
+                        archive = Archive(files, f"{top}/part-{task.partitionId():06}-{task.taskAttemptId()}-{len(done):04}.warc.zst", level)
+                    archive.add(record(ids[at].as_py(), urls[at].as_py(), htmls[at].as_py().encode(), refers[at].as_py()))
+                    if archive.bytes >= ARCHIVE_BYTES:
+                        done.append(archive.close())
+                        archive = None
+            if archive:
+                done.append(archive.close())
+        except BaseException:  # a failed attempt leaves no archives; those of a lost executor are not in the manifest
+            if archive:
+                archive.sink.close()
+            for path in [*(d[0] for d in done), *([archive.path] if archive else [])]:
+                files.delete_file(path)
+            raise
         if done:
             path, records, size = zip(*done, strict=True)
             named = [f"{folder}/{p.rsplit('/', 1)[-1]}" for p in path]
