@@ -9,7 +9,8 @@
 
 Defined cases: a null or empty text is one empty line, which stays; keys under `least` code points always
 stay; rows without doc_id count for nothing and keep all their lines; rows of one doc_id are one document;
-a key repeated inside its smallest document stays there each time; other columns are carried untouched.
+a key repeated inside its smallest document stays there each time; an empty table gives no rows; other columns
+are carried untouched.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import arrow_map, table
 
@@ -148,17 +151,24 @@ def dedup_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return arrow_map(_joined(docs, least).select("row.doc_id", "row.text", "dropped"), rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """`docs` with its lines dropped: the same columns and rows. A text that keeps no line becomes empty, a null stays null."""
+def dedup_lines(docs: DataFrame, least: int = LEAST, keep_emptied: bool = True) -> DataFrame:
+    """`docs` with its lines dropped: the same columns and rows. A text that keeps no line becomes empty, a null stays null.
 
-    @F.pandas_udf("string")
-    def cut(texts, dropped):
+    Without `keep_emptied`, rows that lost lines and hold only white space now are left out: other documents hold
+    all that they said. Texts that were blank before stay.
+    """
+
+    def cut(texts: pd.Series, dropped: pd.Series) -> pd.Series:
         return texts.combine(dropped, lambda t, d: t if t is None or d is None else b"\n".join(_kept(t, list(d))[0]).decode())
 
     joined = _joined(docs, least)
-    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(cut("row.text", "dropped"))
+    once = F.pandas_udf(cut, StringType()).asNondeterministic()  # else a filter on the result would cut twice
+    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(once("row.text", "dropped"))
+    marked = joined.select("row", text.alias("text"), F.col("dropped").isNotNull().alias("cut"))
+    if not keep_emptied:
+        marked = marked.where(~F.col("cut") | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     quoted = {c: f"`{c.replace('`', '``')}`" for c in docs.columns}
-    return joined.select(*((text if c == "text" else F.col(f"row.{q}")).alias(c) for c, q in quoted.items()))
+    return marked.select(*((F.col("text") if c == "text" else F.col(f"row.{q}")).alias(c) for c, q in quoted.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
