@@ -15,10 +15,12 @@ CELL = f"struct<{RECT},text:string>"
 TABLE = f"struct<table_id:int,{RECT},row_count:int,col_count:int,cells:array<{CELL}>>"
 DRAWING = f"struct<seq:int,kind:string,{RECT},text:string>"
 ZONE = f"struct<{RECT}>"
+IMAGE = f"struct<seq:int,{RECT},ext:string,data:binary>"
 #: Every column of the page relation; a decoder makes it, missing parts are empty arrays.
 PAGE = {
     "doc_id": "bigint", "page_num": "int", "width": "double", "height": "double", "blocks": f"array<{BLOCK}>", "lines": f"array<{LINE}>",
     "tables": f"array<{TABLE}>", "drawings": f"array<{DRAWING}>", "exclude": f"array<{ZONE}>", "include": f"array<{ZONE}>", "raw": "string",
+    "images": f"array<{IMAGE}>",
 }
 PAGE_DDL = ", ".join(f"{k} {v}" for k, v in PAGE.items())
 WIDTH, HEIGHT = 595.0, 842.0

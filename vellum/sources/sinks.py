@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import without_header
 
@@ -49,20 +52,55 @@ def to_json_cache(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "fingerprint").applyInPandas(run, "doc_id long, fingerprint string, json string")
 
 
+def to_json_translations(rows: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and the JSON text of a translation cache: pages, and in them engine:target to text."""
+    entry = F.struct(F.concat_ws(":", "engine", "target").alias("key"), F.col("text").alias("value"))
+    pages = rows.groupBy("doc_id", "fingerprint", "page_num").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("by"))
+    whole = pages.groupBy("doc_id", "fingerprint").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_num").cast("string").alias("key"), F.to_json("by").alias("value"))))).alias("ps"))
+    body = F.array_join(F.transform(F.map_entries("ps"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    return whole.select("doc_id", "fingerprint", F.concat(F.lit('{"fingerprint":'), _quoted(F.col("fingerprint")), F.lit(',"pages":{'), body, F.lit("}}")).alias("json"))
+
+
+def to_json_edits(edits: DataFrame) -> DataFrame:
+    """doc_id, win and the JSON text of an edits file: keys of the texts to what was made of them."""
+    entry = F.struct(F.col("key"), F.col("edited").alias("value"))
+    return edits.groupBy("doc_id", "win").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json"))
+
+
+def _quoted(t: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.struct(t.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+
+
 def save_images(images: DataFrame, folder: str) -> DataFrame:
-    """Write the bytes of `images` (name, data) below a folder URI; path and size of each. Lazy: it writes when read."""
+    """Write the bytes of `images` (name, data) below a folder URI, once; path and size of each.
+
+    A file is written under a name of its attempt and then moved, so that a task that runs again, or another attempt
+    beside it, never leaves half an image under a final name. The manifest is written too, and what is returned
+    reads it: later actions write nothing.
+    """
+    top = folder.rstrip("/")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
 
-        files, top = FileSystem.from_uri(folder)
-        files.create_dir(top, recursive=True)
+        files, at = FileSystem.from_uri(top)
+        files.create_dir(at, recursive=True)
+        own = TaskContext.get().taskAttemptId()
         for b in batches:
             for name, data in zip(b["name"], b["data"], strict=True):
-                with files.open_output_stream(f"{top}/{name}") as out:
+                with files.open_output_stream(f"{at}/.{name}.{own}") as out:
                     out.write(data)
-            yield pd.DataFrame({"path": [f"{folder}/{n}" for n in b["name"]], "bytes": [len(d) for d in b["data"]]})
+                files.move(f"{at}/.{name}.{own}", f"{at}/{name}")
+            yield pd.DataFrame({"path": [f"{top}/{n}" for n in b["name"]], "bytes": [len(d) for d in b["data"]]})
+
+    manifest = f"{top}/_manifest-{uuid.uuid4().hex}"
+    images.select("name", "data").mapInPandas(run, "path string, bytes long").write.parquet(manifest)
+    return images.sparkSession.read.parquet(manifest)
+
 
-    return images.select("name", "data").mapInPandas(run, "path string, bytes long")
+def to_html(text: Column, render: Callable[[str], str]) -> Column:
+    """Markdown as HTML by a renderer that is given; null stays null."""
+    return F.pandas_udf(lambda ts: ts.map(render, na_action="ignore"), StringType())(text)
 
 
 def data_uri(data: bytes, ext: str) -> str:
