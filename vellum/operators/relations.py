@@ -8,7 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import needs_translation, paragraphs, sentences, text_key, without_header
+from ..functions.text import paragraphs, sentences, text_key, without_header
+
+#: Units in one call of a translator.
+UNITS_A_CALL = 500
+#: Gaps in a slice of time.
+SLICE_GAPS = 64
 
 
 def outline_parents(toc: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,11 +78,24 @@ def latest(results: DataFrame, keys: list[str], generation: list[str]) -> DataFr
 
 
 def debounced(events: DataFrame, keys: list[str], at: str, tie: str, gap_seconds: float) -> DataFrame:
-    """The last event of every burst: no other of its key follows within the gap."""
-    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at, tie))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    apart = micros("__next") - micros(at) > int(gap_seconds * 1_000_000)
-    return events.withColumn("__next", following).where(F.col("__next").isNull() | apart).drop("__next")
+    """The last event of every burst: no other of its key follows within the gap. Events without a time go.
+
+    Time is cut into slices of `SLICE_GAPS` gaps; an event is compared with the next one of its slice, and the last
+    one of a slice with the first of the next slice that could follow within the gap. A key with very many events
+    is so dealt to many tasks.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    gap = int(gap_seconds * 1_000_000)
+    length = max(1, gap * SLICE_GAPS)
+    cut = events.withColumn("__at", micros).where("__at is not null").withColumn("__slice", F.floor(F.col("__at") / length).cast("bigint"))
+    following = F.lead("__at").over(Window.partitionBy(*keys, "__slice").orderBy(at, tie))
+    heads = cut.groupBy(*keys, "__slice").agg(F.min("__at").alias("__head"))
+    heads = heads.withColumn("__slice", F.col("__slice") - 1).alias("h")
+    own = cut.withColumn("__next", following).alias("e")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*keys, "__slice"]]
+    joined = own.join(heads, same, "left")
+    next_at = F.coalesce("e.__next", "h.__head")
+    return joined.where(next_at.isNull() | (next_at - F.col("e.__at") > gap)).select(*(F.col(f"e.{c}") for c in events.columns))
 
 
 def paragraph_units(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -99,26 +117,42 @@ def chunked(unit: Column, size: int = 1500) -> Column:
     return F.when(F.length(unit) <= size, F.array(unit)).otherwise(packed)
 
 
-def translated(texts: DataFrame, keys: list[str], translate: Callable[[list[str]], list[str | None]], text: str = "text", size: int = 1500) -> DataFrame:
-    """keys, translated. Paragraphs are cut into units, equal units are translated once, and put back in order.
+def translated(texts: DataFrame, keys: list[str], translate: Callable[[list[str]], list[str | None]], text: str = "text", size: int = 1500, parts: int = 64) -> DataFrame:
+    """keys, translated, failed (number of units), error (of one of them). Null texts stay null.
 
-    `translate` gets a batch of units; null, or an error of the batch, leaves the units as they are. Tables
-    and images inside a paragraph are protected (see `sources.translation.protect`).
+    Paragraphs are cut into units, equal units are translated once, and put back in order. `translate` gets a batch
+    of units; if it fails for a batch, or gives another number of results, every unit is tried alone. A unit that
+    fails, or for which it gives null, stays as it is. Tables and images inside a paragraph are protected (see
+    `sources.translation`).
+
+    Units meet by a 128-bit hash and a salt: neither long texts nor a paragraph that many documents share is the key.
     """
     from ..sources.translation import protected_units
 
-    units = protected_units(texts, keys, text, size)
+    units = protected_units(texts, keys, text, size).withColumn("key", F.when(F.col("needed"), F.unhex(F.md5("unit")))).withColumn("salt", F.pmod(F.xxhash64(*keys, "part"), F.lit(parts)).cast("int"))
+
+    def alone(unit: str) -> tuple[str, str | None]:
+        try:
+            got = translate([unit])[0]
+        except Exception as e:  # noqa: BLE001  the translator is outside: this unit stays as it is
+            return unit, f"{type(e).__name__}: {e}"
+        return unit if got is None else got, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = b["unit"].tolist()
-            try:
-                got = translate(own)
-            except Exception:  # noqa: BLE001  the translator is outside: a failed batch stays as it is
-                got = [None] * len(own)
-            yield pd.DataFrame({"unit": own, "done": [o if g is None else g for o, g in zip(own, got, strict=True)]})
-
-    wanted = units.where(F.col("needed")).select("unit").distinct().mapInPandas(run, "unit string, done string")
-    joined = units.join(wanted, "unit", "left").withColumn("done", F.coalesce("done", "unit"))
-    out = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("para", "part", "piece", "done", "before"))).alias("us"))
-    return out.select(*keys, F.array_join(F.transform("us", lambda u: F.concat(u["before"], u["done"])), "").alias("translated"))
+            for at in range(0, len(b), UNITS_A_CALL):
+                some = b.iloc[at : at + UNITS_A_CALL]
+                own = some["unit"].tolist()
+                try:
+                    got = [(o if g is None else g, None) for o, g in zip(own, translate(own), strict=True)]
+                except Exception:  # noqa: BLE001  one bad unit must not lose the others
+                    got = [alone(o) for o in own]
+                yield pd.DataFrame({"key": some["key"].tolist(), "done": [g for g, _ in got], "error": pd.Series([e for _, e in got], dtype=object)})
+
+    wanted = units.where("needed").groupBy("key").agg(F.first("unit").alias("unit")).mapInPandas(run, "key binary, done string, error string")
+    known = units.where("needed").select("key", "salt").distinct().join(wanted, "key")
+    joined = units.withColumn("unit", F.when(~F.col("needed"), F.col("unit"))).join(known, ["key", "salt"], "left").withColumn("done", F.coalesce("done", "unit"))
+    out = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "done", "before"))).alias("us"), F.count("error").alias("failed"), F.max("error").alias("error"))
+    whole = F.when(F.size("us") > 0, F.array_join(F.transform("us", lambda u: F.concat(u["before"], u["done"])), ""))
+    empty = texts.where(F.col(text).isNull()).select(*keys, F.lit(None).cast("string").alias("translated"), F.lit(0).cast("long").alias("failed"), F.lit(None).cast("string").alias("error"))
+    return out.select(*keys, whole.alias("translated"), "failed", "error").unionByName(empty)
