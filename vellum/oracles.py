@@ -107,12 +107,105 @@ X as (
   union all select page_id, k, 1, 0, y0, 0, k, md from M)"""
 PARAS = """
 U as (select doc_id, i - 1 as para, ps[i] as unit from (
-  select doc_id, string_split(text, chr(10)) as ps, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null))"""
+  select doc_id, string_split(text, chr(10)) as ps, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents))"""
 TOC = "Q as (select page_id, cast(block_id as bigint) as seq, cast(1 + length(text) % 3 as integer) as level, cast(block_id + length(text) % 5 as bigint) as page_idx from B)"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 TOKEN = "@@[A-Z]+[0-9]+@@"
 DIRTY = "replace(text, 'er ', 'e-' || chr(10) || ' r') || ' **12**end _a_,_b_ In' || chr(173) || '-Hos—p|x'"
 
+def overlap(a: str, z: str) -> str:
+    return f"greatest(cast(0 as double), least({a}.x1, {z}.x1) - greatest({a}.x0, {z}.x0)) * greatest(cast(0 as double), least({a}.y1, {z}.y1) - greatest({a}.y0, {z}.y0))"
+
+
+def covered(a: str, z: str) -> str:
+    return f"{z}.page_id = {a}.page_id and {overlap(a, z)} / (({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0)) >= cast(0.5 as double)"
+
+
+def within(b: str, r: str) -> str:
+    return f"{r}.page_id = {b}.page_id and {b}.x0 >= {r}.x0 - 2 and {b}.x1 <= {r}.x1 + 2 and {b}.y0 >= {r}.y0 - 2 and {b}.y1 <= {r}.y1 + 2"
+
+
+def visible(tables: str, exclude: str) -> str:
+    """Zones that exclude, tables that count, blocks that are seen; the conditions are on T t and Z z."""
+    return f"""
+XZ as (select * from Z z where {exclude}),
+D as (select t.* from T t where {tables} and not exists (select 1 from XZ z where {covered("t", "z")})),
+VB as (select b.* from B b where not exists (select 1 from XZ z where {AREA} > 0 and {covered("b", "z")}))"""
+
+
+def drawn(drawings: str) -> str:
+    """Boxes of the zones z that are drawings: with text, outside tables and excluded zones; title and markdown."""
+    return f"""
+RB as (select z.* from Z z where {drawings} and not exists (select 1 from XZ x where {covered("z", "x")}) and not exists (select 1 from D t where {covered("z", "t")})),
+RL as (select z.page_id, z.seq, z.x0, z.y0, z.x1, z.y1, list({collapse("b.text")} order by b.block_id) filter ({collapse("b.text")} <> '') as ls, {strip("string_agg(b.text, chr(10) order by b.block_id)")} as whole
+  from RB z join B b on {within("b", "z")} group by all),
+BX as (select r.page_id, r.seq, r.x0, r.y0, r.x1, r.y1,
+    (select arg_min({collapse("b.text")}, b.block_id) from VB b where b.page_id = r.page_id and b.y1 <= r.y0 and b.y1 >= r.y0 - 30 and b.x0 >= r.x0 - 40 and b.x1 <= r.x1 + 40 and {collapse("b.text")} <> '') as title,
+    '| ' || ls[1] || ' |' || chr(10) || '| --- |' || array_to_string(list_transform(ls[2:], lambda x: chr(10) || '| ' || x || ' |'), '') as md
+  from RL r where whole <> '' and (len(ls) >= 2 or length(whole) >= 30))"""
+
+
+TABLE_MD = """
+P1 as (select r.page_id, r.row, list(g.t order by g.x0, g.block_id) as ts, min(g.x0) as a, max(g.x1) as b from R r join G g on g.page_id = r.page_id and g.rn = r.rn group by r.page_id, r.row),
+P2 as (select page_id, max(len(ts)) as widest from P1 group by page_id),
+P3 as (select p.page_id, array_to_string(p.ts, ' ') as cap from P1 p join P2 w on w.page_id = p.page_id join T t on t.page_id = p.page_id where p.row = 0 and (len(p.ts) = 1
+  or (len(p.ts) < w.widest and p.b - p.a >= cast(0.9 as double) * (t.x1 - t.x0) and regexp_matches(array_to_string(p.ts, ' '), '(?i)^[\\s\\p{Z}]*(table|fig(ure)?|box|exhibit|chart)([^\\p{L}\\p{N}_]|$)')))),
+P4 as (select p.*, row_number() over (partition by p.page_id order by p.row) as k, max(len(p.ts)) over (partition by p.page_id) as n from P1 p where not (p.row = 0 and p.page_id in (select page_id from P3))),
+P5 as (select page_id, k, n, '| ' || array_to_string(list_transform(range(1, n + 1), lambda i: coalesce(ts[i], '')), ' | ') || ' |' as line from P4),
+P6 as (select page_id, string_agg(case when k = 1 then line || chr(10) || '| ' || array_to_string(list_transform(range(0, n), lambda i: '---'), ' | ') || ' |' else line end, chr(10) order by k) as body from P5 group by page_id),
+PT as (select d.doc_id as page_id, case when c.page_id is not null then '**' || c.cap || '**' || chr(10) || case when b.body is not null then chr(10) else '' end else '' end || coalesce(b.body, '') as md
+  from documents d left join P3 c on c.page_id = d.doc_id left join P6 b on b.page_id = d.doc_id)"""
+IN_TABLE = f"K as (select b.* from B b join T t on t.page_id = b.page_id and {INSIDE})"
+#: The page in reading order, as RO (page_id, md), from VB, D, BX and PT.
+READING = (
+    f"""
+VV as (select b.* from VB b where (b.max_size >= cast(6.5 as double) or exists (select 1 from D t where t.page_id = b.page_id and b.max_size >= 5
+    and b.y0 >= t.y1 - 4 and b.y0 - t.y1 <= 45 and b.x0 >= t.x0 - 30 and b.x1 <= t.x1 + 30)) and not exists (select 1 from D t where {within("b", "t")})),
+VQ as (select b.* from VV b where {CLEAR})""",
+    split_ctes("VQ", "v"),
+    f"""
+OU as (select b.* from VV b where not exists (select 1 from BX r where {within("b", "r")}) and not exists (select 1 from BX r where r.page_id = b.page_id and r.title <> '' and r.title = {collapse("b.text")})),
+TM as (select t.page_id, t.x0, t.y0, t.x1, p.md from D t join PT p on p.page_id = t.page_id where p.md <> ''),
+XM as (select page_id, seq as i, x0, y0, x1, case when coalesce(title, '') <> '' then '**' || title || '**' || chr(10) || chr(10) || md else md end as md from BX),
+SP as (
+  select b.page_id, b.y0, 0 as kind, b.block_id as i, {plain_md()} as md from OU b where {WIDE}
+  union all select b.page_id, b.y0, 1, 0, b.md from TM b where {WIDE} union all select b.page_id, b.y0, 2, b.i, b.md from XM b where {WIDE}),
+SO as (select *, row_number() over (partition by page_id order by y0, kind, i) - 1 as k from SP where md <> ''),
+IT as (
+  select b.page_id, b.x0, b.x1, b.y0, 0 as kind, b.block_id as i, {column_md()} as md from OU b where not ({WIDE}) and b.x1 - b.x0 >= 25
+  union all select b.page_id, b.x0, b.x1, b.y0, 1, 0, b.md from TM b where not ({WIDE}) union all select b.page_id, b.x0, b.x1, b.y0, 2, b.i, b.md from XM b where not ({WIDE})),
+AL as (
+  select b.page_id, (select count(*) from SO m where m.page_id = b.page_id and b.y0 >= m.y0) as band, 0 as sep,
+    (select count(*) from vs s where s.page_id = b.page_id and (b.x0 + b.x1) / 2 > s.split) as col, b.y0, b.x0, b.kind, b.i, b.md from IT b
+  union all select page_id, k, 1, 0, y0, 0, 0, k, md from SO),
+RO as (select d.doc_id as page_id, coalesce(x.md, '') as md from documents d left join (
+  select page_id, string_agg(md, chr(10) || chr(10) order by band, sep, col, y0, x0, kind, i) as md from AL where md <> '' group by page_id) x on x.page_id = d.doc_id)""",
+)
+#: Page profiles, as F, from VB and D instead of all blocks and tables.
+SEEN = (
+    f"""
+Y as (select b.* from VB b where b.max_size >= cast(6.5 as double) and b.x1 - b.x0 >= 25 and not ({WIDE}) and not exists (select 1 from D t where {within("b", "t")})),
+YC as (select b.* from Y b where {CLEAR})""",
+    split_ctes("YC", "p"),
+    PROFILE,
+)
+
+
+def line_md(text: str, bold: str, italic: str) -> str:
+    mark = f"case when {bold} and {italic} then '***' when {bold} then '**' when {italic} then '*' else '' end"
+    return strip(f"{mark} || {text} || {mark}")
+
+
+SPACED = "regexp_replace(regexp_replace({0}, '\\*\\*(\\p{{Nd}}+)\\*\\*([^\\s\\p{{Z}}])', '**\\1** \\2', 'g'), '(_[^_]+_),', '\\1, ', 'g')"
+
+#: READING with the titles of the first column (14 points and more) taken out of their columns and put first.
+TITLED = f"""
+FS as (select page_id, min(split) as first from vs group by page_id),
+TI as (select b.* from OU b left join FS s on s.page_id = b.page_id where not ({WIDE}) and b.x1 - b.x0 >= 25 and b.max_size >= 14 and b.x0 < coalesce(s.first, cast(596 as double))),
+TA as (select b.page_id, string_agg({column_md()}, chr(10) || chr(10) order by b.max_size, b.block_id) as md from TI b group by b.page_id),
+TR as (select page_id, string_agg(md, chr(10) || chr(10) order by band, sep, col, y0, x0, kind, i) as md from AL a where md <> ''
+  and not (kind = 0 and sep = 0 and exists (select 1 from TI t where t.page_id = a.page_id and t.block_id = a.i)) group by page_id)"""
+
 ORACLES: dict[str, str] = {
     "layout_blocks": q(" select page_id, block_id, text, x0, y0, x1, y1, max_size from B"),
     "zone_overlap": q(f" select b.page_id, b.block_id, z.seq, {OVERLAP} as overlap from B b join Z z on z.page_id = b.page_id where {OVERLAP} > 0"),
@@ -139,31 +232,58 @@ ORACLES: dict[str, str] = {
     "block_markdown": q(f" select page_id, block_id, {column_md()} as column_md, {plain_md()} as plain_md from B b"),
     "reading_order": q(" select d.doc_id as page_id, coalesce(x.md, '') as md from documents d left join (select page_id, string_agg(md, chr(10) || chr(10) order by band, sep, col, y0, x0, i) as md from X where md <> '' group by page_id) x on x.page_id = d.doc_id", KEPT, split_ctes("VC", "r"), ORDER),
     "table_grid": q(" select r.page_id, cast(r.row as integer) as row, cast(count(*) as integer) as n_cells, sha1(string_agg(g.t, '|' order by g.x0, g.block_id)) as row_key from R r join G g on g.page_id = r.page_id and g.rn = r.rn group by r.page_id, r.row", "K as (select * from B)", GRID),
-    "table_markdown": q(
-        """, P1 as (select r.page_id, r.row, list(g.t order by g.x0, g.block_id) as ts, min(g.x0) as a, max(g.x1) as b from R r join G g on g.page_id = r.page_id and g.rn = r.rn group by r.page_id, r.row),
-        P2 as (select page_id, max(len(ts)) as widest from P1 group by page_id),
-        P3 as (select p.page_id, array_to_string(p.ts, ' ') as cap from P1 p join P2 w on w.page_id = p.page_id join T t on t.page_id = p.page_id where p.row = 0 and (len(p.ts) = 1
-          or (len(p.ts) < w.widest and p.b - p.a >= cast(0.9 as double) * (t.x1 - t.x0) and regexp_matches(array_to_string(p.ts, ' '), '(?i)^[\\s\\p{Z}]*(table|fig(ure)?|box|exhibit|chart)([^\\p{L}\\p{N}_]|$)')))),
-        P4 as (select p.*, row_number() over (partition by p.page_id order by p.row) as k, max(len(p.ts)) over (partition by p.page_id) as n from P1 p where not (p.row = 0 and p.page_id in (select page_id from P3))),
-        P5 as (select page_id, k, n, '| ' || array_to_string(list_transform(range(1, n + 1), lambda i: coalesce(ts[i], '')), ' | ') || ' |' as line from P4),
-        P6 as (select page_id, string_agg(case when k = 1 then line || chr(10) || '| ' || array_to_string(list_transform(range(0, n), lambda i: '---'), ' | ') || ' |' else line end, chr(10) order by k) as body from P5 group by page_id)
-        select d.doc_id as page_id, case when c.page_id is not null then '**' || c.cap || '**' || chr(10) || case when b.body is not null then chr(10) else '' end else '' end || coalesce(b.body, '') as md
-        from documents d left join P3 c on c.page_id = d.doc_id left join P6 b on b.page_id = d.doc_id""",
-        f"K as (select b.* from B b join T t on t.page_id = b.page_id and {INSIDE})",
-        GRID,
+    "table_markdown": q(" select page_id, md from PT", IN_TABLE, GRID, TABLE_MD),
+    "box_pages": q(" select page_id, seq, coalesce(title, '') as title, md from BX", visible("true", "false"), drawn("true")),
+    "page_reading": q(
+        " select page_id, md from RO",
+        IN_TABLE, GRID, TABLE_MD, visible(f"t.page_id % 8 <> 3 and {DATA_TABLE}", "z.page_id % 8 = 2 or (z.page_id % 8 = 5 and z.seq = 1)"), drawn("z.page_id % 2 = 1"), *READING,
+    ),
+    "title_reading": q(
+        " select d.doc_id as page_id, coalesce(a.md, '') || case when a.md is not null and r.md is not null then chr(10) || chr(10) else '' end || coalesce(r.md, '') as md from documents d left join TA a on a.page_id = d.doc_id left join TR r on r.page_id = d.doc_id",
+        IN_TABLE, GRID, TABLE_MD, visible(f"t.page_id % 8 <> 3 and {DATA_TABLE}", "z.page_id % 8 = 2 or (z.page_id % 8 = 5 and z.seq = 1)"), drawn("z.page_id % 2 = 1"), *READING, TITLED,
+    ),
+    "page_texts": q(
+        f""", PL as (select f.page_id, f.page_id % 8 = 1 as inc, f.page_id % 8 = 2 as exc, case when f.page_id % 8 = 1 then '' when f.columns >= 2 and f.columns_overlap and f.page_id % 8 <> 2 then 'reorder_columns,spacing' else 'spacing' end as plan from F f),
+        IB as (select b.page_id, b.block_id, b.y0, b.x0, min(z.seq) as zone, any_value({column_md()}) as md from B b join Z z on {covered("b", "z")} and {AREA} > 0 where b.page_id % 8 = 1 group by b.page_id, b.block_id, b.y0, b.x0),
+        IC as (select page_id, string_agg(md, chr(10) || chr(10) order by zone, y0, x0, block_id) as md from IB where md <> '' group by page_id),
+        NW as (select p.*, coalesce(d.text, '') as raw, r.md as reading, coalesce(c.md, '') as included from PL p join documents d on d.doc_id = p.page_id join RO r on r.page_id = p.page_id left join IC c on c.page_id = p.page_id),
+        ST as (select *, case when (exc or plan like 'reorder%') and reading <> '' then reading else raw end as base from NW),
+        FT as (select *, case when plan like '%spacing' then {SPACED.format("base")} else base end as fixed from ST),
+        TX as (select *, case when inc and included <> '' then included when fixed <> '' then fixed else base end as text from FT)
+        select page_id, case when inc or exc then 'manual' else 'auto' end as label, plan, sha1(text) as text_key, cast(length(text) as integer) as n_chars from TX""",
+        IN_TABLE, GRID, TABLE_MD, visible(f"t.page_id % 8 >= 4 and {DATA_TABLE}", "z.page_id % 8 = 2"), drawn("false"), *READING, *SEEN,
+    ),
+    "block_lines_markdown": f"""with {BASE},
+        H as (select page_id, block_id, max_size, bold or false as any_bold, {line_md("substr(text, 1, length(text) // 2)", "(block_id % 5 = 0)", "(block_id % 3 = 0)")} as a, {line_md("substr(text, length(text) // 2 + 1)", "false", "(block_id % 2 = 0)")} as b from B)
+        select page_id, block_id, a || ' ' || b as plain_md, case when max_size >= 14 then '# ' || a || ' ' || b when max_size >= 12 then '## ' || a || case when b <> '' then chr(10) || chr(10) || b else '' end
+          when max_size >= cast(9.8 as double) and any_bold then '### ' || a || case when b <> '' then chr(10) || chr(10) || b else '' end else a || ' ' || b end as column_md from H""",
+    "glued_split": q(
+        f""", W as (select page_id, arg_min(mid, a) as split from rx where gap = widest and widest >= 8 group by page_id),
+        S as (select b.page_id, b.block_id, b.text, (b.x0 + b.x1) / 2 <= w.split as is_left from B b join W w on w.page_id = b.page_id),
+        N as (select page_id, arg_min(text, block_id) filter (is_left) || ' ' || arg_min(text, block_id) filter (not is_left) as glued,
+          trim(lower({collapse("string_agg(text, chr(10) order by block_id) filter (is_left)")})) as l, trim(lower({collapse("string_agg(text, chr(10) order by block_id) filter (not is_left)")})) as r from S group by page_id),
+        O as (select page_id, coalesce(glued, '') as glued, coalesce(l, '') as l, coalesce(r, '') as r, string_split({collapse("coalesce(glued, '')")}, ' ') as ws from N),
+        P as (select *, len(ws) as n, lower(array_to_string(ws, ' ')) as norm,
+          coalesce(list_max(list_filter(range(1, len(ws) + 1), lambda k: contains(l, lower(array_to_string(ws[1:k], ' '))))), 0) as k,
+          list_min(list_filter(range(1, len(ws) + 1), lambda j: contains(r, lower(array_to_string(ws[j:], ' '))))) as j from O),
+        Q2 as (select *, length(lower(array_to_string(ws[1:k], ' '))) as p, length(lower(array_to_string(ws[j:], ' '))) as s from P)
+        select d.doc_id as page_id, coalesce(x.glued, '') as glued, coalesce(case when x.n >= 8 and x.k > 0 and x.j is not null and length(x.norm) - 1 <= x.p + x.s and x.p < length(x.norm) - x.s and x.k >= 3 and x.k <= x.n - 3
+          then array_to_string(x.ws[1:x.k], ' ') || chr(10) || chr(10) || array_to_string(x.ws[x.k + 1:], ' ') else {strip("x.glued")} end, '') as cut from documents d left join Q2 x on x.page_id = d.doc_id""",
+        C,
+        split_ctes("C", "r"),
     ),
     "legend_blocks": q(" select b.page_id, b.block_id from B b join T t on t.page_id = b.page_id where b.max_size < cast(6.5 as double) and b.max_size >= 5 and b.y0 >= t.y1 - 4 and b.y0 - t.y1 <= 45 and b.x0 >= t.x0 - 30 and b.x1 <= t.x1 + 30"),
     "box_titles": q(f" select z.page_id, z.seq, arg_min({collapse('b.text')}, b.block_id) as title from Z z left join B b on b.page_id = z.page_id and b.y1 <= z.y0 and b.y1 >= z.y0 - 30 and b.x0 >= z.x0 - 40 and b.x1 <= z.x1 + 40 and {collapse('b.text')} <> '' group by z.page_id, z.seq"),
     "inclusion_reading": q(f""", I as (select b.page_id, b.block_id, b.y0, b.x0, min(z.seq) as zone, any_value({column_md()}) as md from B b join Z z on z.page_id = b.page_id where {AREA} > 0 and {OVERLAP} / {AREA} >= cast(0.5 as double) group by b.page_id, b.block_id, b.y0, b.x0)
         select d.doc_id as page_id, coalesce(x.md, '') as md from documents d left join (select page_id, string_agg(md, chr(10) || chr(10) order by zone, y0, x0, block_id) as md from I where md <> '' group by page_id) x on x.page_id = d.doc_id"""),
-    "text_normal_forms": f"""with X as (select doc_id, {DIRTY} as t from documents where text is not null)
+    "text_normal_forms": f"""with X as (select doc_id, {DIRTY} as t from documents)
         select doc_id as page_id, sha1(regexp_replace(t, '([\\p{{L}}\\p{{N}}_])-{SP}*\\n{SP}*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')) as dehyphenated,
           sha1(lower({collapse("regexp_replace(replace(t, chr(173), ''), '[|—-]', ' ', 'g')")})) as strip_key,
           sha1(trim(lower(regexp_replace(regexp_replace(t, '-{SP}*\\n{SP}*', '', 'g'), '{SP}+', ' ', 'g')))) as reading_key,
           sha1(regexp_replace(regexp_replace(t, '\\*\\*(\\p{{Nd}}+)\\*\\*([^\\s\\p{{Z}}])', '**\\1** \\2', 'g'), '(_[^_]+_),', '\\1, ', 'g')) as spaced from X""",
-    "header_keys": "select doc_id as page_id, sha1(case when doc_id % 2 = 0 then ltrim(text, chr(10)) else text end) as key, cast(length(text) + case when doc_id % 2 = 0 then length('── 12.5 ms │ ' || length(text) || ' chars │ auto │ eng ──') + 2 else 0 end as integer) as n_shown from documents where text is not null",
+    "header_keys": "select doc_id as page_id, sha1(case when doc_id % 2 = 0 then ltrim(text, chr(10)) else text end) as key, cast(length(text) + case when doc_id % 2 = 0 then length('── 12.5 ms │ ' || length(text) || ' chars │ auto │ eng ──') + 2 else 0 end as integer) as n_shown from documents",
     "paragraph_units": f"with {PARAS} select doc_id as page_id, cast(para as integer) as para, sha1(unit) as unit_key, regexp_matches(regexp_replace(unit, '{TOKEN}', '', 'g'), '{LETTER}') as needed from U",
-    "translate_units": f"with {PARAS} select doc_id as page_id, sha1(string_agg(case when regexp_matches(unit, '{LETTER}') then '[' || unit || ']' else unit end, chr(10) || chr(10) order by para)) as text_key from U group by doc_id",
+    "translate_units": f"with {PARAS} select doc_id as page_id, sha1(string_agg(case when regexp_matches(unit, '{LETTER}') then '[' || unit || ']' else unit end, chr(10) || chr(10) order by para)) as text_key from U group by doc_id union all select doc_id, null from documents where text is null",
     "toc_parent": q(" select a.page_id, a.seq, a.level, (select max(b.seq) from Q b where b.page_id = a.page_id and b.seq < a.seq and b.level < a.level) as parent_seq from Q a", TOC),
     "toc_asof": q(""", I as (select page_id, seq, max(page_idx) over (partition by page_id order by seq rows between unbounded preceding and current row) as top from Q)
         select d.doc_id as page_id, n.page_num, max(i.seq) as toc_seq from documents d cross join (select unnest([0, 3, 9, 27]) as page_num) n left join I i on i.page_id = d.doc_id and i.top <= n.page_num group by d.doc_id, n.page_num""", TOC),
@@ -183,7 +303,7 @@ ORACLES: dict[str, str] = {
         M as (select page_id, arg_max(kept, rn) as kept from R group by page_id)
         select page_id, k.id as block_id from (select page_id, unnest(kept) as k from M) u"""
     ),
-    "sentence_chunks": f"""with recursive X as (select doc_id, length(text) as n, case when length(text) <= 300 then [text] else string_split(regexp_replace(text, '([.!?]){SP}+', '\\1' || chr(1), 'g'), chr(1)) end as ss from documents where text is not null),
+    "sentence_chunks": f"""with recursive X as (select doc_id, length(text) as n, case when length(text) <= 300 then [text] else string_split(regexp_replace(text, '([.!?]){SP}+', '\\1' || chr(1), 'g'), chr(1)) end as ss from documents),
         S as (select doc_id, i, ss[i] as s from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from X) u),
         R as (select doc_id, i, length(s) as n, 0 as seq from S where i = 1
           union all
@@ -192,7 +312,7 @@ ORACLES: dict[str, str] = {
         select r.doc_id as page_id, r.seq, sha1(string_agg(s.s, ' ' order by s.i)) as chunk_key from R r join S s on s.doc_id = r.doc_id and s.i = r.i group by r.doc_id, r.seq""",
     "clean_spans": f"""with recursive X as (
           select doc_id, i, case when (i - 1) % 2 = 0 then ls[i] || '-' else lower(ls[i]) end as t from (
-            select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null) u),
+            select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents) u),
         S as (select doc_id, t, row_number() over (partition by doc_id order by i) as rn from X where regexp_matches(t, '[^\\s\\p{{Z}}]')),
         R as (select doc_id, rn, t, 1 as line from S where rn = 1
           union all

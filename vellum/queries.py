@@ -164,15 +164,49 @@ def box_dedup(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select(F.col("doc_id").alias("page_id"), F.explode(markdown.dedup_boxes(rects, kind)).alias("k")).select("page_id", F.col("k.seq").alias("block_id"))
 
 
-def box_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of a page from made drawings (the zones, with the text of the blocks in them)."""
+def _drawn() -> Column:
+    """Made drawings: the zones, with the text of the blocks in them."""
     text = lambda z: F.array_join(F.transform(F.filter("blocks", lambda b: g.inside(b, z)), profile.block_text), "\n")
-    drawn = F.transform("zones", lambda z, i: F.struct(i.cast("int").alias("seq"), F.lit("s").alias("kind"), *(z[k].alias(k) for k in ("x0", "y0", "x1", "y1")), text(z).alias("text")))
-    p = pages(spark, d).withColumn("drawings", drawn)
+    return F.transform("zones", lambda z, i: F.struct(i.cast("int").alias("seq"), F.lit("s").alias("kind"), *(z[k].alias(k) for k in ("x0", "y0", "x1", "y1")), text(z).alias("text")))
+
+
+def box_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page from made drawings."""
+    p = pages(spark, d).withColumn("drawings", _drawn())
     found = markdown.boxes(F.col("drawings"), F.col("blocks"), F.array("made_table"), F.col("exclude"), F.col("width"), F.col("height"))
     return p.select(F.col("doc_id").alias("page_id"), F.explode(markdown.dedup_boxes(found, markdown.BOXES)).alias("x")).select("page_id", "x.seq", F.coalesce("x.title", F.lit("")).alias("title"), "x.md")
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with tables, drawings and exclusion zones, in all combinations."""
+    k = F.pmod(F.col("doc_id"), F.lit(8))
+    p = pages(spark, d).withColumn("drawings", F.when(k % 2 == 1, _drawn()))
+    return complete(p.withColumn("exclude", F.when(k == 2, F.col("zones")).when(k == 5, F.slice("zones", 2, 1))).withColumn("tables", F.when(k != 3, F.array("made_table"))))
+
+
+def page_reading(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages in reading order: tables, boxes with titles, exclusion zones and legends."""
+    return reading.with_reading_order(_whole(spark, d)).select(F.col("doc_id").alias("page_id"), F.col("reading").alias("md"))
+
+
+def title_reading(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with the titles of the first column put first."""
+    return reading.with_reading_order(_whole(spark, d), move_title=True).select(F.col("doc_id").alias("page_id"), F.col("reading").alias("md"))
+
+
+def block_lines_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of two lines, in bold and italics by turns: headings are cut behind their first line."""
+    def halves(b: Column) -> Column:
+        t, i = profile.block_text(b), b["block_id"]
+        half = F.floor(F.length(t) / 2).cast("int")
+        span = lambda x, bold, italic: F.array(F.struct(x.alias("text"), b["max_size"].alias("size"), bold.alias("bold"), italic.alias("italic")))
+        lines = F.array(span(F.substr(t, F.lit(1), half), i % 5 == 0, i % 3 == 0), span(F.substr(t, half + 1), F.lit(False), i % 2 == 0))
+        return F.struct(i.alias("block_id"), *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1", "max_size")), lines.alias("lines"))
+
+    p = pages(spark, d).withColumn("blocks", F.transform("blocks", halves))
+    return _blocks(p).select(F.col("doc_id").alias("page_id"), "b.block_id", markdown.block_md(F.col("b"), True).alias("column_md"), markdown.block_md(F.col("b"), False).alias("plain_md"))
+
+
 def inclusion_reading(spark: SparkSession, d: str) -> DataFrame:
     lines = reading.lines_of(F.col("blocks"))
     return pages(spark, d).select(F.col("doc_id").alias("page_id"), reading.inclusion_order(lines, F.col("zones"), F.col("exclude")).alias("md"))
@@ -203,16 +237,16 @@ def glued_split(spark: SparkSession, d: str) -> DataFrame:
 def text_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.replace(F.col("text"), F.lit("er "), F.lit("e-\n r")), F.lit(" **12**end _a_,_b_ In­-Hos—p|x"))
     out = {"dehyphenated": tx.dehyphenated(t), "strip_key": tx.strip_key(t), "reading_key": tx.reading_key(t), "spaced": tx.spaced(t)}
-    return _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), *(F.sha1(c.cast("binary")).alias(n) for n, c in out.items()))
+    return _docs(spark, d).select(F.col("doc_id").alias("page_id"), *(F.sha1(c.cast("binary")).alias(n) for n, c in out.items()))
 
 
 def header_keys(spark: SparkSession, d: str) -> DataFrame:
     shown = F.when(F.col("doc_id") % 2 == 0, F.concat(tx.header(F.lit(12.5), F.col("text"), F.lit("auto"), F.lit("eng")), F.col("text"))).otherwise(F.col("text"))
-    return _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), tx.text_key(tx.without_header(shown)).alias("key"), F.length(shown).alias("n_shown"))
+    return _docs(spark, d).select(F.col("doc_id").alias("page_id"), tx.text_key(tx.without_header(shown)).alias("key"), F.length(shown).alias("n_shown"))
 
 
 def _paragraphed(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("text is not null").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return _docs(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
 def paragraph_units(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +255,7 @@ def paragraph_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), F.posexplode(relations.chunked(F.col("text"), 300)).alias("seq", "chunk"))
+    rows = _docs(spark, d).select(F.col("doc_id").alias("page_id"), F.posexplode(relations.chunked(F.col("text"), 300)).alias("seq", "chunk"))
     return rows.select("page_id", "seq", F.sha1(F.col("chunk").cast("binary")).alias("chunk_key"))
 
 
@@ -291,7 +325,7 @@ def clean_spans(spark: SparkSession, d: str) -> DataFrame:
     rows = F.transform(F.split("text", "\\n", -1), lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(x, F.lit("-"))).otherwise(F.lower(x)).alias("x")))
     lines = F.transform(rows, lambda r: F.array(span(r["x"]), span(F.lit(" "))))
     block = F.struct(F.lit(0).alias("block_id"), *(g.d(0).alias(k) for k in ("x0", "y0", "x1", "y1", "max_size")), lines.alias("lines"))
-    b = _docs(spark, d).where("text is not null").select("doc_id", F.explode(cleaned_blocks(F.array(block))).alias("b"))
+    b = _docs(spark, d).select("doc_id", F.explode(cleaned_blocks(F.array(block))).alias("b"))
     return b.select(F.col("doc_id").alias("page_id"), "b.max_size", F.size("b.lines").alias("n_lines"), F.sha1(profile.block_text(F.col("b")).cast("binary")).alias("text_key"))
 
 
@@ -299,7 +333,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         layout_blocks, zone_overlap, zone_exclusion, zone_inclusion_first, margin_strip, width_class, column_intervals, column_splits, column_widest, column_assign, column_reorder,
-        page_profile, fix_plan, fix_plan_override, block_markdown, reading_order, table_grid, table_markdown, legend_blocks, box_titles, box_dedup, box_pages, inclusion_reading, page_texts, glued_split,
+        page_profile, fix_plan, fix_plan_override, block_markdown, reading_order, table_grid, table_markdown, legend_blocks, box_titles, box_dedup, box_pages, page_reading, title_reading, block_lines_markdown, inclusion_reading, page_texts, glued_split,
         text_normal_forms, header_keys, paragraph_units, sentence_chunks, translate_units, translate_chunks, toc_parent, toc_asof, edit_overlay, latest_generation, debounce_last, cache_missing, clean_spans,
     )
 }
