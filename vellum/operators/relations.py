@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,25 +16,34 @@ UNITS_A_CALL = 500
 SLICE_GAPS = 64
 
 
+def _parents(levels: list[int]) -> list[int | None]:
+    """Place of each entry's parent: the last one before it of a smaller level, kept on a stack of open entries."""
+    out: list[int | None] = []
+    held: list[int] = []
+    for k, level in enumerate(levels):
+        while held and levels[held[-1]] >= level:
+            held.pop()
+        out.append(held[-1] if held else None)
+        held.append(k)
+    return out
+
+
 def outline_parents(toc: DataFrame, keys: list[str]) -> DataFrame:
     """Adds parent_seq: the last earlier entry of a smaller level (null: top). toc: keys, seq, level.
 
-    A document's outline is folded as one array: it is bounded by the document, and the fold keeps the
-    stack of open entries, so no entry is compared with all others.
+    A document's outline is one array, in order of seq; one pass over it with a stack finds all parents, so that
+    time is linear in the outline. Levels under 0, and none, count as 0.
     """
-    entry = F.struct("seq", F.greatest(F.col("level"), F.lit(0)).cast("int").alias("level"))
-    stack = "array<struct<seq:bigint,level:int>>"
-    state = f"struct<open:{stack},out:array<struct<seq:bigint,parent:bigint>>>"
-    start = F.struct(F.array().cast(stack).alias("open"), F.array().cast("array<struct<seq:bigint,parent:bigint>>").alias("out")).cast(state)
 
-    def step(s: Column, e: Column) -> Column:
-        above = F.filter(s["open"], lambda o: o["level"] < e["level"])
-        found = F.struct(e["seq"].alias("seq"), F.try_element_at(above, F.lit(-1))["seq"].alias("parent"))
-        return F.struct(F.concat(above, F.array(e)).alias("open"), F.concat(s["out"], F.array(found)).alias("out"))
+    @F.pandas_udf("array<bigint>")
+    def parents(seqs: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([[None if p is None else own[p] for p in _parents(list(x))] for own, x in zip(seqs, levels, strict=True)], dtype=object)
 
+    entry = F.struct("seq", F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)).cast("int").alias("level"))
     ordered = toc.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("es"))
-    found = ordered.select(*keys, F.explode(F.aggregate("es", start, step, lambda s: s["out"])).alias("p")).select(*keys, F.col("p.seq").alias("seq"), F.col("p.parent").alias("parent_seq"))
-    return toc.join(found, [*keys, "seq"])
+    placed = ordered.withColumn("ps", parents(F.col("es.seq"), F.col("es.level")))
+    found = placed.select(*keys, F.explode(F.arrays_zip(F.col("es.seq").alias("seq"), F.col("ps").alias("parent"))).alias("p"))
+    return toc.join(found.select(*keys, "p.seq", F.col("p.parent").alias("parent_seq")), [*keys, "seq"])
 
 
 def outline_position(pages: DataFrame, toc: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,17 +113,27 @@ def paragraph_units(texts: DataFrame, keys: list[str], text: str = "text") -> Da
 
 
 def chunked(unit: Column, size: int = 1500) -> Column:
-    """Sentences packed into chunks: a chunk closes when the next one would pass the size (blanks not counted)."""
-    kind = "array<struct<n:bigint,t:string>>"
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct((last["n"] + F.length(s)).cast("bigint").alias("n"), F.concat(last["t"], F.lit(" "), s).alias("t"))
-        fresh = F.struct(F.length(s).cast("bigint").alias("n"), s.alias("t"))
-        return F.when((F.size(done) == 0) | (last["n"] + F.length(s) > size), F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown)))
-
-    packed = F.transform(F.aggregate(sentences(unit), F.array().cast(kind), step), lambda c: c["t"])
-    return F.when(F.length(unit) <= size, F.array(unit)).otherwise(packed)
+    """Sentences packed into chunks: a chunk closes when the next one would pass the size (blanks not counted).
+    One pass over the sentences of the units that are longer than a chunk."""
+
+    @F.pandas_udf("array<string>")
+    def packed(units: pd.Series) -> pd.Series:
+        def one(parts: Iterable[str] | None) -> list[str] | None:
+            if parts is None:
+                return None
+            out, held, n = [], [], 0
+            for s in parts:
+                if held and n + len(s) > size:
+                    out.append(" ".join(held))
+                    held, n = [], 0
+                held.append(s)
+                n += len(s)
+            return [*out, " ".join(held)]
+
+        return pd.Series([one(u) for u in units], dtype=object)
+
+    long = F.length(unit) > size
+    return F.when(F.length(unit) <= size, F.array(unit)).otherwise(packed(F.when(long, sentences(unit))))
 
 
 def translated(texts: DataFrame, keys: list[str], translate: Callable[[list[str]], list[str | None]], text: str = "text", size: int = 1500, parts: int = 64) -> DataFrame:
