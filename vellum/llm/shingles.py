@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import xxhash
 
@@ -68,14 +66,3 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     at = np.searchsorted(large, small)
     both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def batches_of(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

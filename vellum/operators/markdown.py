@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..functions.geometry import area, d, excluded, height, overlap_area, width
 from ..functions.text import CAPTION, collapsed, strip_key, stripped
 from .profile import block_text
@@ -23,15 +24,17 @@ def span_md(s: Column) -> Column:
 
 
 def block_md(b: Column, as_column: bool) -> Column:
-    lines = F.transform(b["lines"], lambda line: stripped(F.array_join(F.transform(line, span_md), "")))
-    whole = F.array_join(lines, " ")
-    if not as_column:
-        return whole
-    bold = F.exists(F.flatten(b["lines"]), lambda s: s["bold"])
-    mark = F.when(b["max_size"] >= H2, "## ").when((b["max_size"] >= H3) & bold, "### ")
-    body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " ")
-    split = F.concat(mark, F.element_at(lines, 1), F.when(body != "", F.concat(F.lit("\n\n"), body)).otherwise(""))
-    return F.when(b["max_size"] >= H1, F.concat(F.lit("# "), whole)).when(mark.isNotNull(), split).otherwise(whole)
+    def whole(lines: Column) -> Column:
+        return F.array_join(lines, " ")
+
+    def headed(lines: Column) -> Column:
+        bold = F.exists(F.flatten(b["lines"]), lambda s: s["bold"])
+        mark = F.when(b["max_size"] >= H2, "## ").when((b["max_size"] >= H3) & bold, "### ")
+        body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " ")
+        split = bound(body, lambda t: F.concat(mark, F.element_at(lines, 1), F.when(t != "", F.concat(F.lit("\n\n"), t)).otherwise("")))
+        return F.when(b["max_size"] >= H1, F.concat(F.lit("# "), whole(lines))).when(mark.isNotNull(), split).otherwise(whole(lines))
+
+    return bound(F.transform(b["lines"], lambda line: stripped(F.array_join(F.transform(line, span_md), ""))), headed if as_column else whole)
 
 
 ROWS = "array<struct<y0:double,cells:array<struct<x0:double,k:int,x1:double,t:string>>>>"
@@ -54,19 +57,33 @@ def table_rows(cells: Column) -> Column:
 def rows_md(rows: Column, table_width: Column) -> Column:
     """A pipe table; a caption row becomes a bold line above it."""
     texts = lambda r: F.transform(r, lambda c: c["t"])
-    first = F.try_element_at(rows, F.lit(1))
-    widest = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    caption = F.array_join(texts(first), " ")
-    across = F.array_max(F.transform(first, lambda c: c["x1"])) - F.array_min(F.transform(first, lambda c: c["x0"]))
-    is_caption = (F.size(first) == 1) | (F.size(first) < widest) & (across >= d(CAPTION_SHARE) * table_width) & caption.rlike(CAPTION)
-    body = F.when(is_caption, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
-    n = F.array_max(F.transform(body, lambda r: F.size(r)))
-    fitted = F.transform(body, lambda r: F.slice(F.concat(texts(r), F.array_repeat(F.lit(""), n)), 1, n))
-    drawn = F.transform(fitted, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |"))
-    table = F.array_join(F.concat(F.slice(drawn, 1, 1), F.array(rule), F.slice(drawn, 2, F.greatest(F.size(drawn) - 1, F.lit(0)))), "\n")
-    head = F.when(is_caption, F.concat(F.lit("**"), caption, F.lit("**\n"))).otherwise("")
-    return F.when(F.size(rows) == 0, "").when(F.size(body) == 0, head).otherwise(F.concat(head, F.when(is_caption, "\n").otherwise(""), table))
+    rest = lambda xs: F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0)))
+
+    def captioned(own: Column) -> Column:
+        """struct(rows, is_caption, caption)"""
+        first = F.try_element_at(own, F.lit(1))
+        widest = F.array_max(F.transform(own, lambda r: F.size(r)))
+        across = F.array_max(F.transform(first, lambda c: c["x1"])) - F.array_min(F.transform(first, lambda c: c["x0"]))
+        caption = F.array_join(texts(first), " ")
+        is_caption = (F.size(first) == 1) | (F.size(first) < widest) & (across >= d(CAPTION_SHARE) * table_width) & caption.rlike(CAPTION)
+        return F.struct(own.alias("rows"), is_caption.alias("is_caption"), caption.alias("caption"))
+
+    def drawn(s: Column) -> Column:
+        """struct(lines, rule, is_caption, caption)"""
+        def lines(body: Column) -> Column:
+            n = F.array_max(F.transform(body, lambda r: F.size(r)))
+            line = lambda n: F.transform(body, lambda r: F.concat(F.lit("| "), F.array_join(F.slice(F.concat(texts(r), F.array_repeat(F.lit(""), n)), 1, n), " | "), F.lit(" |")))
+            rule = lambda n: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |"))
+            return bound(n, lambda n: F.struct(line(n).alias("lines"), rule(n).alias("rule"), s["is_caption"].alias("is_caption"), s["caption"].alias("caption")))
+
+        return bound(F.when(s["is_caption"], rest(s["rows"])).otherwise(s["rows"]), lines)
+
+    def joined(s: Column) -> Column:
+        table = F.array_join(F.concat(F.slice(s["lines"], 1, 1), F.array(s["rule"]), rest(s["lines"])), "\n")
+        head = F.when(s["is_caption"], F.concat(F.lit("**"), s["caption"], F.lit("**\n"))).otherwise("")
+        return F.when(F.size(s["lines"]) == 0, head).otherwise(F.concat(head, F.when(s["is_caption"], "\n").otherwise(""), table))
+
+    return bound(rows, lambda own: F.when(F.size(own) == 0, "").otherwise(bound(bound(captioned(own), drawn), joined)))
 
 
 def table_md(t: Column) -> Column:
@@ -79,9 +96,11 @@ def text_lines(t: Column) -> Column:
 
 
 def box_md(t: Column) -> Column:
-    lines = text_lines(t)
-    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("\n| "), x, F.lit(" |")))
-    return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.lit("| "), F.element_at(lines, 1), F.lit(" |\n| --- |"), F.array_join(rest, "")))
+    def drawn(lines: Column) -> Column:
+        rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("\n| "), x, F.lit(" |")))
+        return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.lit("| "), F.element_at(lines, 1), F.lit(" |\n| --- |"), F.array_join(rest, "")))
+
+    return bound(text_lines(t), drawn)
 
 
 def legend(b: Column, tables: Column) -> Column:
@@ -127,4 +146,4 @@ def boxes(drawings: Column, blocks: Column, tables: Column, zones: Column, page_
         return r["kind"].isin(*BOX_KINDS) & (w >= BOX_WIDTH) & (h >= BOX_HEIGHT) & ~frame & ~off & ~bar & ~excluded(r, zones) & ~in_table & (text != "") & ((lines >= 2) | (F.length(text) >= BOX_TEXT))
 
     made = F.transform(F.filter(drawings, real), lambda r: F.struct(r["seq"].alias("seq"), *(r[k].alias(k) for k in ("x0", "y0", "x1", "y1")), box_title(r, blocks).alias("title"), box_md(stripped(r["text"])).alias("md")))
-    return F.filter(made, lambda b: ~F.exists(made, lambda o: _strip(b, o)))
+    return bound(made, lambda own: F.filter(own, lambda b: ~F.exists(own, lambda o: _strip(b, o))))

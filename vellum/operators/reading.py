@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.binding import bound
 from ..functions.geometry import FULL_WIDTH, LEAST_WIDTH, covered_by, d, excluded, inside_any, middle, width
 from ..functions.text import collapsed, reading_key
 from ..plans import planner
@@ -36,7 +37,8 @@ def with_reading_order(pages: DataFrame, name: str = "reading", move_title: bool
     p = p.withColumn("__blocks", F.filter(F.filter(col("__vis"), lambda b: (b["max_size"] >= FLOOR) | legend(b, col("__t"))), lambda b: ~inside_any(b, col("__t"))))
     p = p.withColumn("__splits", columns.splits(columns.without_margins(col("__blocks"), col("height")), pw))
     titles = F.filter(F.transform(col("__boxes"), lambda b: b["title"]), lambda t: t != "")
-    p = p.withColumn("__titles", titles).withColumn("__out", F.filter(col("__blocks"), lambda b: ~inside_any(b, col("__boxes")) & ~F.exists(col("__titles"), lambda t: t == collapsed(block_text(b)))))
+    named = lambda b, ts: bound(collapsed(block_text(b)), lambda own: F.array_contains(ts, own))
+    p = p.withColumn("__out", bound(titles, lambda ts: F.filter(col("__blocks"), lambda b: ~inside_any(b, col("__boxes")) & ~((F.size(ts) > 0) & F.coalesce(named(b, ts), F.lit(False))))))
     wide = lambda r: width(r) >= d(FULL_WIDTH) * pw
     p = p.withColumn("__body", F.filter(col("__out"), lambda b: ~wide(b) & (width(b) >= LEAST_WIDTH)))
     if move_title:
