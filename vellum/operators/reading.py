@@ -122,17 +122,29 @@ def split_glued(text: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series
     return pd.Series([None if t is None else _cut_glued(t, a or "", b or "") for t, a, b in zip(text, left, right, strict=True)], dtype=object)
 
 
-def column_texts(blocks: Column, split: Column) -> tuple[Column, Column]:
-    """Normalised texts left and right of a border, by the middle of each block."""
-    side = lambda test: reading_key(F.array_join(F.transform(F.filter(blocks, test), block_text), "\n"))
-    return side(lambda b: middle(b) <= split), side(lambda b: middle(b) > split)
+def page_lines() -> Column:
+    """The decoder's lines of a page, or one line a block where it gives none."""
+    return F.when(F.size("lines") > 0, F.col("lines")).otherwise(lines_of(F.col("blocks")))
+
+
+def clip_text(lines: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Text of the lines whose middle lies in a rectangle (its left and upper edge not included), a line each."""
+    down = lambda r: (r["y0"] + r["y1"]) / 2
+    held = F.filter(lines, lambda r: (middle(r) > x0) & (middle(r) <= x1) & (down(r) > y0) & (down(r) <= y1))
+    return F.array_join(F.transform(held, lambda r: F.array_join(F.transform(r["spans"], lambda s: s["text"]), " ")), "\n")
+
+
+def column_texts(lines: Column, split: Column) -> tuple[Column, Column]:
+    """Normalised texts left and right of a border, by the middle of each line."""
+    far = d(1e300)
+    return reading_key(clip_text(lines, -far, -far, split, far)), reading_key(clip_text(lines, split, -far, far, far))
 
 
 def with_split_glued(pages: DataFrame, text: str, name: str, needed: Column | None = None) -> DataFrame:
     """The pages with glued paragraphs of `text` cut; unchanged without a clear border or where not needed."""
     border = columns.widest_split(columns.intervals(columns.without_margins(F.col("blocks"), F.col("height")), F.col("width")))
     p = pages.withColumn("__border", border if needed is None else F.when(needed, border))
-    left, right = column_texts(F.col("blocks"), F.col("__border"))
+    left, right = column_texts(page_lines(), F.col("__border"))
     p = p.withColumn("__left", F.when(F.col("__border").isNotNull(), left)).withColumn("__right", F.when(F.col("__border").isNotNull(), right))
     cut = split_glued(F.when(F.col("__border").isNotNull(), F.col(text)), F.col("__left"), F.col("__right"))
     return p.withColumn("__cut", cut).withColumn(name, F.coalesce("__cut", text)).drop("__border", "__left", "__right", "__cut")
@@ -150,8 +162,7 @@ def page_text(pages: DataFrame, backend: str = planner.TEXT_BACKEND, mode: str =
     planned = planner.plan(col("profile"), backend, mode, overrides)
     p = p.withColumn("plan", F.when(has_in, F.array().cast("array<string>")).when(has_out, F.array_remove(planned, "reorder_columns")).otherwise(planned))
     p = with_reading_order(p, "__reading")
-    lines = F.when(F.size("lines") > 0, col("lines")).otherwise(lines_of(col("blocks")))
-    p = p.withColumn("__included", F.when(has_in, inclusion_order(lines, col("include"), col("exclude"))))
+    p = p.withColumn("__included", F.when(has_in, inclusion_order(page_lines(), col("include"), col("exclude"))))
     p = p.withColumn("__now", F.when(has_out & ~has_in & (col("__reading") != ""), col("__reading")).otherwise(F.coalesce("raw", F.lit(""))))
     dynamic = mode != "auto" or overrides is not None or backend == planner.LAYOUT_BACKEND
     for fix in sorted(planner.FIXES, key=lambda f: f.order):

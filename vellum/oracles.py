@@ -322,4 +322,33 @@ ORACLES: dict[str, str] = {
         M as (select doc_id, line, arg_max(t, rn) as t from R group by doc_id, line)
         select m.doc_id as page_id, cast(z.size as double) as max_size, cast(count(*) as integer) as n_lines, sha1(string_agg(m.t, ' ' order by m.line)) as text_key
         from M m join (select doc_id, max(length(t)) as size from S group by doc_id) z on z.doc_id = m.doc_id group by m.doc_id, z.size""",
+    "table_cells": f"""with L as (select doc_id as page_id, cast(i - 1 as integer) as idx, case when (i - 1) % 7 = 0 then '|:---|  ----: |---|' else ls[i] end as line, ls[i] as own from (
+          select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
+        X as (select page_id, idx, list_transform(string_split(regexp_replace({strip("line")}, '^\\|+|\\|+$', '', 'g'), '|'), lambda c: {strip("c")}) as cs from L where contains(own, '|'))
+        select page_id, idx, cast(len(cs) as integer) as n_cells, len(list_filter(cs, lambda c: not regexp_matches(c, '^:?-{{3,}}:?$'))) = 0 as is_rule, sha1(array_to_string(cs, '|')) as cells_key from X""",
+    "language_codes": """with X as (select doc_id as page_id, case when doc_id % 5 = 0 then 'auto' when doc_id % 5 = 1 then 'zh' when doc_id % 5 = 2 then null else lang end as code from documents)
+        select page_id, code, case when code is null or code in ('', 'auto') then 'eng+deu+fra+ita+spa+por+nld+pol+rus+tur+ara' when code = 'zh' then 'chi_sim' when code = 'en' then 'eng' when code = 'de' then 'deu'
+          when code = 'fr' then 'fra' when code = 'es' then 'spa' when code = 'it' then 'ita' else 'eng' end as ocr, case when code = 'zh' then 'zh-Hans' else code end as service, 'x @@IMG' || page_id || '@@ y @@TBL7@@' as tidy from X""",
+    "drawn_zones": """with X as (select doc_id as page_id, cast(doc_id * 3 % 50 as double) as a, cast(doc_id * 7 % 60 as double) as b, cast(doc_id * 5 % 50 as double) as c, cast(doc_id * 11 % 60 as double) as e,
+          cast(case when doc_id % 9 = 0 then 1 else doc_id % 9 end as double) as f from documents),
+        Y as (select page_id, greatest(a, c) - least(a, c) >= 4 and greatest(b, e) - least(b, e) >= 4 as drawn, least(a, c) * (1 / f) as x0, least(b, e) * (1 / f) as y0, greatest(a, c) * (1 / f) as x1, greatest(b, e) * (1 / f) as y1 from X)
+        select page_id, x0, y0, x1, y1, least(greatest(x1, cast(2 as double)), cast(20 as double)) as shown from Y where drawn and x1 - x0 >= 1 and y1 - y0 >= 1""",
+    "region_images": q(
+        f""", X as (select z.page_id, z.seq, (z.page_id + z.seq) % 2 = 0 as captures,
+          (select count(*) from B b where b.page_id = z.page_id and b.x0 >= z.x0 and b.y0 >= z.y0 and b.x1 <= z.x1 and b.y1 <= z.y1) as n, (select min(b.block_id) from B b where b.page_id = z.page_id and b.x0 >= z.x0 and b.y0 >= z.y0 and b.x1 <= z.x1 and b.y1 <= z.y1) as first,
+          exists (select 1 from B b where {covered("b", "z")}) as hit from Z z)
+        select page_id, seq, case when not captures then 'image' when hit then 'render' else 'none' end as action, cast(case when captures then 0 else n end as integer) as n_inside, case when captures then null else first end as first_image from X"""
+    ),
+    "image_numbers": """with E as (select user_id as doc_id, cast(event_id % 3 as integer) as page_num, event_id as seq, event_type from events),
+        K as (select doc_id, page_num, count(*) as top from E where event_type = 'click' group by all),
+        N as (select e.doc_id, e.page_num, e.seq, cast(coalesce(k.top, -1) + row_number() over (partition by e.doc_id, e.page_num order by e.seq) as integer) as idx from E e left join K k on k.doc_id = e.doc_id and k.page_num = e.page_num where e.event_type <> 'click')
+        select doc_id, page_num, seq, idx, 'page_' || lpad(cast(page_num as varchar), 4, '0') || '_region_' || idx || '.png' as name from N""",
+    "gallery_uris": """with E as (select user_id as doc_id, event_id as seq, 'u' || (event_id % 50) as uri, event_type from events),
+        K as (select * from E e where event_type <> 'view' and not exists (select 1 from E r where r.event_type = 'view' and r.doc_id = e.doc_id and r.uri = e.uri))
+        select doc_id, cast(count(*) as integer) as n, string_agg(uri, ',' order by seq) as uris from K group by doc_id""",
+    "cache_invalidated": """with E as (select user_id as doc_id, event_id % 7 as page_num, event_type, event_id from events),
+        C as (select doc_id, page_num, max(event_id) as result from E where event_type = 'view' group by all),
+        N as (select doc_id, page_num, -max(event_id) as result from E where event_id % 11 = 0 group by all)
+        select * from C c where not exists (select 1 from E s where s.event_type = 'click' and s.doc_id = c.doc_id and s.page_num = c.page_num) and not exists (select 1 from N n where n.doc_id = c.doc_id and n.page_num = c.page_num)
+        union all select * from N""",
 }

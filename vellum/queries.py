@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .functions import text as tx
-from .operators import columns, markdown, profile, reading, relations
+from .operators import columns, images, markdown, profile, reading, relations
 from .plans import planner
 from .runtime import ship
+from .sources import sinks
 from .sources.layout import cleaned_blocks, complete, project
 
 
@@ -329,11 +330,65 @@ def clean_spans(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("doc_id").alias("page_id"), "b.max_size", F.size("b.lines").alias("n_lines"), F.sha1(profile.block_text(F.col("b")).cast("binary")).alias("text_key"))
 
 
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with bars as pipe-table rows: their cells, and whether they are a rule."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "line")).where(F.col("line").contains("|"))
+    rows = rows.withColumn("line", F.when(F.col("idx") % 7 == 0, F.lit("|:---|  ----: |---|")).otherwise(F.col("line"))).withColumn("cs", tx.cells(F.col("line")))
+    return rows.select("page_id", "idx", F.size("cs").alias("n_cells"), tx.is_separator(F.col("cs")).alias("is_rule"), F.sha1(F.array_join("cs", "|").cast("binary")).alias("cells_key"))
+
+
+def language_codes(spark: SparkSession, d: str) -> DataFrame:
+    code = F.when(F.col("doc_id") % 5 == 0, "auto").when(F.col("doc_id") % 5 == 1, "zh").when(F.col("doc_id") % 5 == 2, F.lit(None)).otherwise(F.col("lang"))
+    rows = ship(spark).read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), code.alias("code"))
+    token = F.concat(F.lit("x @@ IMG"), F.col("page_id").cast("string"), F.lit(" @@ y @@TBL 7@@"))
+    return rows.select("page_id", "code", tx.ocr_language(F.col("code")).alias("ocr"), tx.service_language(F.col("code")).alias("service"), tx.tidy_tokens(token).alias("tidy"))
+
+
+def drawn_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles drawn from any corner at different scales: normalised, in points, large enough."""
+    i = F.col("doc_id")
+    at = lambda a, b, c: (F.pmod(i * a, F.lit(b)) + c).cast("double")
+    corners = F.struct(at(3, 50, 0).alias("x0"), at(7, 60, 0).alias("y0"), at(5, 50, 0).alias("x1"), at(11, 60, 0).alias("y1"))
+    zone_ = images.drawn_zone(corners, F.pmod(i, F.lit(9)).cast("double"))
+    return _docs(spark, d).select(i.alias("page_id"), zone_.alias("z")).where("z is not null").select("page_id", "z.x0", "z.y0", "z.x1", "z.y1", g.clamp(F.col("z.x1"), 2.0, 20.0).alias("shown"))
+
+
+def region_images(spark: SparkSession, d: str) -> DataFrame:
+    """Which image a zone means: the blocks of a page taken as images, the two zones, drawn to take or to capture."""
+    rect = lambda b: [b[k].alias(k) for k in ("x0", "y0", "x1", "y1")]
+    made = F.transform("blocks", lambda b: F.struct(b["block_id"].alias("seq"), *rect(b), F.lit("png").alias("ext"), F.lit(None).cast("binary").alias("data")))
+    p = pages(spark, d).withColumn("images", made)
+    zones = p.select("doc_id", "page_num", F.posexplode("zones").alias("seq", "zone")).withColumn("captures", (F.col("doc_id") + F.col("seq")) % 2 == 0)
+    found = images.regions(zones, p)
+    return found.select(F.col("doc_id").alias("page_id"), "seq", "action", F.size("found").alias("n_inside"), F.get("found", F.lit(0))["seq"].alias("first_image"))
+
+
+def image_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Names of new captures; numbers go on after those taken."""
+    e = _events(spark, d).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("page_num"), F.col("event_id").alias("seq"), "event_type", F.lit("png").alias("ext"))
+    taken = e.where("event_type = 'click'").groupBy("doc_id", "page_num").agg(F.count("*").cast("int").alias("idx"))
+    return sinks.image_names(e.where("event_type <> 'click'").drop("event_type"), taken).select("doc_id", "page_num", "seq", F.col("idx").cast("int").alias("idx"), "name")
+
+
+def gallery_uris(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("uri"), "event_type")
+    kept = images.gallery(e.where("event_type <> 'view'").drop("event_type"), e.where("event_type = 'view'").select("doc_id", "uri"))
+    return kept.select("doc_id", F.size("uris").alias("n"), F.array_join("uris", ",").alias("uris"))
+
+
+def cache_invalidated(spark: SparkSession, d: str) -> DataFrame:
+    """Cached results without those of pages that were drawn on; the rest renewed by later rows of the same key."""
+    e = _events(spark, d).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("page_num"), "event_type", "event_id")
+    cache = e.where("event_type = 'view'").groupBy("doc_id", "page_num").agg(F.max("event_id").alias("result"))
+    stale, fresh = e.where("event_type = 'click'").select("doc_id", "page_num"), e.where("event_id % 11 = 0").groupBy("doc_id", "page_num").agg((-F.max("event_id")).alias("result"))
+    return sinks.upserted(relations.invalidated(cache, stale, ["doc_id", "page_num"]), fresh, ["doc_id", "page_num"]).select("doc_id", "page_num", "result")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         layout_blocks, zone_overlap, zone_exclusion, zone_inclusion_first, margin_strip, width_class, column_intervals, column_splits, column_widest, column_assign, column_reorder,
         page_profile, fix_plan, fix_plan_override, block_markdown, reading_order, table_grid, table_markdown, legend_blocks, box_titles, box_dedup, box_pages, page_reading, title_reading, block_lines_markdown, inclusion_reading, page_texts, glued_split,
-        text_normal_forms, header_keys, paragraph_units, sentence_chunks, translate_units, translate_chunks, toc_parent, toc_asof, edit_overlay, latest_generation, debounce_last, cache_missing, clean_spans,
+        text_normal_forms, header_keys, paragraph_units, sentence_chunks, translate_units, translate_chunks, toc_parent, toc_asof, edit_overlay, latest_generation, debounce_last, cache_missing, clean_spans, table_cells, language_codes, drawn_zones, region_images, image_numbers, gallery_uris, cache_invalidated,
     )
 }
