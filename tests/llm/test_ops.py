@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm import op1_pii, op2_near_dedup, op3_line_dedup, op4_quality, op5_packing, op6_decontamination, op7_secrets, op8_topk_search, op9_warc, op10_token_counts, trees
@@ -79,6 +83,16 @@ def test_pii_model_on_unseen_examples():
     assert y[p].mean() >= 0.95 and p[y == 1].mean() >= 0.9
 
 
+def test_scans_take_empty_tables_and_clashing_names(spark):
+    kind = "doc_id long, text string, spans string, n_email string, base string, n_hex string"
+    docs = spark.createDataFrame([(i, t, *"abcd") for i, t in [*EDGES, (7, "a@b.c"), (7, "a@b.c"), (8, "pwd: x7Gq9zT2vLpR")]], kind)
+    pii, secrets = op1_pii.find(docs).collect(), op7_secrets.scan(docs, VOCAB).collect()
+    assert len(pii) == len(secrets) == len(EDGES) + 3
+    assert [r.spans for r in pii if r.doc_id == 7] == ["email:0:5"] * 2 and [(r.spans, r.n_pii) for r in pii if r.doc_id == 901] == [("", 0)]
+    assert [(r.spans, r.n_guess, r.n_secret) for r in secrets if r.doc_id == 8] == [("guess:5:17", 1, 1)]
+    assert op1_pii.find(docs.limit(0)).count() == 0 and op7_secrets.scan(docs.limit(0), VOCAB).count() == 0
+
+
 # --- 2: near copies ---------------------------------------------------------------------------------
 
 
@@ -133,6 +147,33 @@ def test_near_duplicates(spark, small):
             assert r.n_shingles in want[r.doc_id][0] and r.component_id == want[r.doc_id][1] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_of_hot_sets_and_long_texts(spark, monkeypatch):
+    """A third of all rows in one set, a large star, repeated ids with other texts, and texts of 60,000 words."""
+    monkeypatch.setattr(op2_near_dedup, "SALTS", 3)
+    r = random.Random(12)
+    hot, star = words(r, 40), words(r, 60).split()
+    long = [f"w{r.randint(0, 9999)}" for _ in range(60_000)]
+    texts = [(1000 + k, hot) for k in range(120)] + [(3000 + k, " ".join(w if j != k % 50 else "odd" for j, w in enumerate(star))) for k in range(50)]
+    texts += [(1, " ".join(long)), (2, " ".join(["new", *long[:-50]])), (3, " ".join(long[30_000:])), (5, hot), (5, " ".join(star)), (6, None), (7, "")] + [(100 + k, words(r, 30)) for k in range(80)]
+    got = op2_near_dedup.near_duplicates(docs_of(spark, texts), small=8).collect()
+    by = {x.doc_id: x.component_id for x in got}
+    assert len(got) == len(texts) and by[1] == by[2] == 1 and by[3] == 3
+    assert {by[i] for i, _ in texts if i >= 1000} == {5} and all(by[100 + k] == 100 + k for k in range(80)) and by[6] == 6
+
+
+def test_common_shingles_are_counted_over_all_slices(spark, monkeypatch):
+    monkeypatch.setattr(op2_near_dedup, "ORDER_SAMPLE", 100)
+    sets = [np.unique(np.array([7, -9, k, 10_000 + k // 2], np.int64)) for k in range(100, 2300)]
+    rows = spark.createDataFrame([(k, bytes(v.tobytes())) for k, v in enumerate(sets)], "id long, shingles binary")
+    monkeypatch.setattr(op2_near_dedup, "SPARSEST", 1)
+    keys, counts = op2_near_dedup._common(rows)
+    truth = {}
+    for v in sets:
+        for x in v.tolist():
+            truth[x] = truth.get(x, 0) + 1
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {k: n for k, n in truth.items() if n > 1} and sorted(keys.tolist()) == keys.tolist()
+
+
 def test_near_duplicates_prefix_join_is_exact(spark):
     """Without any band collision short of all, the prefix join alone finds the links it must."""
     texts = [(i, t) for i, t in near_texts() if t and t.strip() and i < 300]
@@ -155,6 +196,17 @@ def test_keep_one_keeps_columns(spark):
     assert op2_near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_filters_carry_clashing_names(spark):
+    kind = "doc_id long, text string, __gone string, __hit string, __key string, id string, salt string, item_id string"
+    twin, item = "one two three four five six seven eight", "which of these eleven words stands in the benchmark of ours then"
+    rows = [(i, t, *"abcdef") for i, t in ((1, twin), (2, twin), (None, twin), (None, None), (3, f"so {item}"), (4, None))]
+    docs = spark.createDataFrame(rows, kind)
+    assert sorted(str(r.doc_id) for r in op2_near_dedup.keep_one(docs).collect()) == ["1", "3", "4", "None", "None"]
+    clean = op6_decontamination.clean(docs, spark.createDataFrame([(7, item, "x")], "item_id long, text string, doc_id string"))
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["1", "2", "4", "None", "None"]
+    assert op2_near_dedup.keep_one(docs.limit(0)).count() == 0 and op6_decontamination.clean(docs.limit(0), docs.select("text", "item_id").limit(0)).count() == 0
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)] + [(200, 201 + k) for k in range(30)]
@@ -230,10 +282,51 @@ def test_quality_edges(spark):
 def test_rules_equal_their_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = op4_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = op4_quality.with_inputs(docs, docs.text, [docs.doc_id])
-    got = rows.withColumn("score", rules.column()).toPandas()
-    x = got[[f"__i_{n}" for n in op4_quality.INPUTS]].to_numpy(float)
-    assert np.allclose(rules.scores(x), got.score) and len(rules.rules) > 0
+    got = docs.select(op4_quality.inputs(docs.text).alias("q"), rules.column(docs.text).alias("score")).select("q.*", "score").toPandas()
+    assert np.allclose(rules.scores(got[op4_quality.INPUTS].to_numpy(float)), got.score) and len(rules.rules) > 0
+
+
+def plain_inputs(text):
+    t = text or ""
+    words = [w for w in re.split("[ \\x09-\\x0d]+", t) if w]
+    n = {"n_chars": len(t), "n_words": len(words), "n_distinct": len(set(words)), "n_upper": sum(unicodedata.category(c) == "Lu" for c in t), "n_digit": sum(c in "0123456789" for c in t), "n_mark": sum(c in "#$%&*@<>{}\\^~=_+" for c in t)}
+    n |= {name: t.count(c) for name, c in (("n_bang", "!"), ("n_pipe", "|"), ("n_stop", "."), ("n_comma", ","), ("n_line", "\n"))}
+    ratio = lambda a, b: n[a] / n[b] if n[b] else 0.0
+    return [float(ratio(*op4_quality.RATIOS[k]) if k in op4_quality.RATIOS else n[k]) for k in op4_quality.INPUTS]
+
+
+def plain_score(rules, text):
+    x = dict(zip(range(len(op4_quality.INPUTS)), plain_inputs(text), strict=True))
+    z = rules.intercept + sum(w for w, c in rules.rules if all(x[f] <= cut if low else x[f] > cut for f, low, cut in c))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_against_plain_statistics(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(EDGES, "doc_id long, text string"))
+    rules = op4_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = [r.text for r in docs.select("text").collect()]
+    got = op4_quality.score(docs, rules).collect()
+    assert len(got) == len(texts)
+    rounded = lambda xs: sorted(round(x, 9) for x in xs)
+    assert rounded(r.score for r in got) == rounded(plain_score(rules, t) for t in texts)
+    good = op4_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert sorted(str(r.text) for r in good.collect()) == sorted(str(t) for t in texts if plain_score(rules, t) >= 0.7)
+
+
+def test_quality_statistics_are_computed_once(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rules = op4_quality.learn(docs, labels)
+    for df in (op4_quality.keep_good(docs, labels), op4_quality.score(docs, rules)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and plan.count("regexp_replace(") <= 3
+
+
+def test_quality_edge_tables(spark):
+    docs, labels = docs_of(spark, EDGES), spark.createDataFrame([(903, 1, 0), (903, 0, 1), (903, 0, 1)], "doc_id long, quality int, toxic int")
+    rules = op4_quality.learn(docs, labels)
+    assert 0 < op4_quality.score(docs, rules).where("doc_id = 903").first().score < 1
+    assert op4_quality.score(docs.limit(0), rules).count() == 0 and op4_quality.keep_good(docs.limit(0), labels).count() == 0
+    assert op4_quality.learn(docs.limit(0), labels).rules == []
 
 
 def test_boosting_learns():
@@ -249,7 +342,7 @@ def test_boosting_learns():
 
 def test_packing(spark, library):
     r = random.Random(8)
-    texts = [(k, words(r, r.choice([1, 5, 50, 300, 4000]), "abcdefghijklmnop.,é'3")) for k in range(120)] + [e for e in EDGES if e[0] != 904]
+    texts = [(k, words(r, r.choice([1, 5, 50, 300, 4000]), "abcdefghijklmnop.,é'3")) for k in range(120)] + EDGES
     got = op5_packing.pack(docs_of(spark, texts), VOCAB, rows_a_bucket=20).collect()
     ids = {}
     for i, t in texts:
@@ -344,6 +437,53 @@ def test_decontamination_of_dense_and_short_items(spark, in_memory):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (9, 3)}
 
 
+PROBLEMS = (
+    "{a} buys {n} pens for {m} dollars", "If {a} walks {n} km in {m} min then how far in {k} h", "{a} has {n} red and {m} blue marbles. {a} gives {k} to {b}. How many are left?",
+    "A train leaves at {n} and travels {m} km at {k} kmh. When does {a} arrive?", "{a}, {b} and {c} share {n} euros. {a} gets {m} and {b} gets {k}. What does {c} get?",
+    "Mix {n} ml of water with {m} ml of juice. How many glasses of {k} ml can {a} fill?", "{a} reads {n} pages on day one, {m} on day two, {k} on day three. What is the mean?",
+    "From {n} kg take {m} kg, then {k} kg. How much stays?", "{a} is {n} years old and {b} is {m}. In {k} years, how old are both?",
+)
+
+
+def problem(r, form):
+    a, b, c = r.sample(["Tom", "Anna", "Sam", "Maria", "Bob", "Carla", "Zoe", "Ivan"], 3)
+    n, m, k = r.sample(range(2, 99), 3)
+    return form.format(a=a, b=b, c=c, n=n, m=m, k=k)
+
+
+def every_pair(texts, items, how):
+    """Brute force of the template rule: every item against every document at every displacement, without windows."""
+    t, q = (op6_decontamination.Templates(x, op6_decontamination.Tokens()) for x in (texts, items))
+    for i in range(len(texts)):
+        for k in range(len(items)):
+            if q.sizes[k] and op6_decontamination.judged(q.part(k), t.part(i), set(range(-int(q.sizes[k]), int(t.sizes[i]))), how):
+                yield i, k
+
+
+@pytest.mark.parametrize("in_memory", [2_000_000, 0])
+def test_decontamination_of_reparameterised_problems(spark, in_memory):
+    r = random.Random(4)
+    filler = lambda: " ".join(r.choice(("the", "of", "grain", "Paris", "and", "we", "saw", "17", "some", "rain", "Mary", "3", "km")) for _ in range(r.randint(5, 60)))
+    items = [problem(r, f) for f in PROBLEMS]
+    texts = [f"{filler()}. {problem(r, f)} {filler()}" for f in PROBLEMS for _ in range(6)] + [f"{filler()} {t} {filler()}" for t in items] + [filler() for _ in range(60)]
+    truth = {(6 * k + j, k) for k in range(len(items)) for j in range(6)} | {(6 * len(items) + k, k) for k in range(len(items))}
+    got = {(x.doc_id, x.item_id) for x in op6_decontamination.contaminated(docs_of(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), in_memory=in_memory).collect()}
+    verbatim = {p for p in truth if p[0] >= 6 * len(items)}
+    assert verbatim <= got and len(got & truth) >= 0.95 * len(truth) and not got - truth, (truth - got, got - truth)
+    assert got == set(every_pair(texts, items, op6_decontamination.How()))
+
+
+def test_decontamination_finds_every_item_verbatim(spark, sf_dir):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    items = {x.item_id: x.text for x in bench.collect()}
+    hard = {10_000: "12 13 14 15 16 17", 10_001: "Tom Anna Bob", 10_002: "7 km", 10_003: "...", 10_004: None, 10_005: " "}
+    both = spark.createDataFrame([*items.items(), *hard.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"start here {t} and the end") for k, t in {**items, **hard}.items()], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in op6_decontamination.contaminated(docs, both).collect()}
+    assert {(k, k) for k in [*items, 10_000, 10_001, 10_002]} <= got
+    assert sorted(x.item_id for x in op6_decontamination.unsearchable(both).collect()) == [10_003, 10_004, 10_005]
+
+
 # --- 7: secrets -------------------------------------------------------------------------------------
 
 
@@ -417,6 +557,23 @@ def test_top_k_keeps_rows_of_a_repeated_id(spark, monkeypatch, shard_rows):
     assert sorted(map(tuple, got)) == sorted(con.execute(op8_topk_search.ORACLE_SQL).fetchall())
 
 
+def test_top_k_edges(spark, monkeypatch):
+    monkeypatch.setattr(op8_topk_search, "TILE_BYTES", 8 * 16 * 40)
+    r = random.Random(3)
+    rows = [(k, [float(r.choice((0.5, -1.25, 2e9, 1e300)) if k % 7 == 0 else r.randint(-3, 3)) for _ in range(40 if k % 9 else 2)], "x", 1) for k in range(90)]
+    rows += [(20, rows[20][1], "y", 2), (None, [1.0] * 40, "z", 3), (91, None, "z", 3), (92, [None] * 40, "z", 3), (93, [float("nan")] * 40, "z", 3), (94, [], "z", 3), (100, [], "z", 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part string, salt int")
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    whole = {(i, tuple(v)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for i, v in whole:
+        if i % 20 == 0:
+            scores = sorted((-clip(sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w, strict=True))), j) for j, w in whole if j != i and len(w) == len(v))[:20]
+            want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(scores)}
+    assert {tuple(x) for x in op8_topk_search.top_k(table).collect()} == want
+    assert op8_topk_search.top_k(table.limit(0)).count() == 0
+
+
 def test_top_k_large_components_and_tree(spark, monkeypatch):
     monkeypatch.setattr(op8_topk_search, "SHARD_ROWS", 3)
     monkeypatch.setattr(op8_topk_search, "FAN_IN", 2)
@@ -443,6 +600,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert op9_warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}").count() == 0
 
 
+def test_warc_edges(spark, tmp_path):
+    kind = "page_id long, url string, html string, digest string, salt int, largest long"
+    rows = [(k, f"u{k}", "same error page" * 50, "x", 1, 2) for k in range(300)] + [(1000 + k, None, None, "x", 1, 2) for k in range(200)] + [(None, "u", "same error page" * 50, "x", 1, 2), (5000, "u", "y" * 300_000, "x", 1, 2)]
+    pages = spark.createDataFrame(rows, kind)
+    got = op9_warc.read(op9_warc.write(pages, f"file://{tmp_path}")).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id for r in got if r.record_type == "response"} == {299, 1199, None, 5000}
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {299, 1199}
+    assert op9_warc.read(op9_warc.write(pages.limit(0), f"file://{tmp_path}")).count() == 0
+
+
+def test_warc_failed_attempt_leaves_no_archive(spark, tmp_path, monkeypatch):
+    broken = spark.createDataFrame([(k, "u", "<p>") for k in range(50)], "page_id long, url string, html string").withColumn("url", F.when(F.col("page_id") == 49, F.raise_error(F.lit("lost"))).otherwise(F.col("url")))
+    with pytest.raises(Exception, match="lost"):
+        op9_warc.write(broken, f"file://{tmp_path}").count()
+    assert not list(tmp_path.rglob("*.zst"))
+
+
 def test_warc_frames(tmp_path):
     from pyarrow.fs import LocalFileSystem
 
@@ -470,10 +645,41 @@ def test_token_counts(spark, library):
     assert sorted(map(tuple, got), key=str) == want
 
 
-def test_state_maps_compose_in_any_grouping():
-    counts, r = op10_token_counts.compiled(VOCAB), random.Random(10)
-    for _ in range(200):
-        raw = "".join(r.choice("ab é \n.") for _ in range(r.randint(0, 60))).encode()
-        whole = op10_token_counts.tokens_of(raw, counts)
-        for size in (1, 2, 7):
-            assert op10_token_counts.tokens_of(raw, counts, size) == whole
+def test_state_maps_equal_the_library_at_every_size(library):
+    counts = op10_token_counts.compiled(VOCAB)
+    r = random.Random(8)
+    alphabet = ["a", "b", "é", "ß", " ", "\n", "1", "22", "'s", "'re", "中", "文字", "ひ", "!", "==", "<|", "<|endoftext|>", "|>", "e\u0301", "한", "\u1112\u1161", "İ", "Σ", "\u00a0", "😀", "the", "Word", "¼", "'", "A", "ǅ", "ﬁ", "́"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts += ["".join(r.choice("中文字漢語日本人大小") for _ in range(400)), "x" * 500, "ab" * 300, "=" * 400, "1" * 300, "the" * 200, "a b " * 100, "\n" * 50, "une é" * 80]
+    for t in texts:
+        want = len(library.encode(t, add_special_tokens=False).ids)
+        for chunk in (1, 3, 7, 64, 1 << 16):
+            assert op10_token_counts.tokens_of(t, counts, chunk) == want, (t, chunk)
+
+
+def test_unexpected_states_are_run_when_they_turn_up(library, monkeypatch):
+    monkeypatch.setattr(op10_token_counts, "RUN_UP", 1)
+    counts = op10_token_counts.compiled(VOCAB)
+    for t in ("antidisestablishmentarianism" * 20, "汉字转换" * 50, "xyzzyplugh" * 40):
+        maps = op10_token_counts.state_maps(t, counts, 5)
+        whole = op10_token_counts.composed(maps)
+        assert whole(None)[1] == len(library.encode(t, add_special_tokens=False).ids)
+        assert all(isinstance(s, (type(None), tuple)) for m in maps for s in m.known)
+
+
+def test_token_counts_of_very_long_unbroken_text(spark, library):
+    r = random.Random(1)
+    texts = ["".join(r.choice("中文字漢語日本人大小") for _ in range(60_000)), "x" * 200_000, "ab1" * 70_000]
+    docs = docs_of(spark, [*enumerate(texts), *EDGES])
+    got = {r.doc_id: r.n_tokens for r in op10_token_counts.count_tokens(docs, VOCAB).collect()}
+    assert [got[k] for k in range(3)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert op10_token_counts.count_tokens(docs.limit(0), VOCAB).count() == 0
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    whole = json.loads(open(VOCAB, encoding="utf-8").read())
+    whole["normalizer"] = None
+    (tmp_path / "v.json").write_text(json.dumps(whole))
+    for load in (op10_token_counts.Counts, op5_packing.Words):
+        with pytest.raises(ValueError, match="normalizer"):
+            load(str(tmp_path / "v.json"))

@@ -2,15 +2,18 @@
 
 Statistics of a text are column expressions. Shallow boosted trees over a bounded sample of labelled rows
 propose conjunctive rules (every path from a root), a lasso logistic fit gives most rules no weight, and
-the rest become `when` columns whose weighted sum is the logit. Scoring runs inside Spark's generated code.
+the rest become `when` columns whose weighted sum is the logit. Scoring is one JVM expression of the text.
 
 Defined cases: a null or empty text has all statistics 0 and is scored like any other; labels that are
-null are skipped; with no labels, or labels of one kind, every score is their mean (0.5 without any);
-repeated rows are scored each; rows without doc_id are not held out; statistics use `text` alone.
+null are skipped; with no labels, labels of one kind, or no statistic that tells them apart, every score is their mean (0.5 without any);
+repeated rows are scored each; rows without doc_id are not held out; statistics use `text` alone; a doc_id
+with several labels or rows is an example for each pair of them, and at most 2 * `sample_rows` such pairs, in
+order of doc_id, are learned from; an empty table gives no rows; other columns are carried untouched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,25 +29,38 @@ THRESHOLD = 0.7
 HELD_OUT = 2
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name and expression of each statistic; shares are of code points or words."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, "[ \\x09-\\x0D]+"), lambda w: w != "")
-    without = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-    literal = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    return {
-        "n_chars": F.length(t),
-        "n_words": F.size(words),
-        "n_distinct": F.size(F.array_distinct(words)),
-        "n_upper": without("\\p{Lu}"),
-        "n_digit": without("[0-9]"),
-        "n_mark": without("[#$%&*@<>{}\\\\^~=_+]"),
-        "n_bang": literal("!"),
-        "n_pipe": literal("|"),
-        "n_stop": literal("."),
-        "n_comma": literal(","),
-        "n_line": literal("\n"),
-    }
+def statistics(text: Column) -> Column:
+    """A struct of the statistics of a text, as doubles; shares are of code points or words.
+
+    Text and words are bound as elements of one-element arrays: however often the struct is used, and wherever
+    the optimizer moves it, the text is split once and each pattern is applied once.
+    """
+
+    def count(t: Column, words: Column) -> Column:
+        without = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
+        literal = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+        found = {
+            "n_chars": F.length(t),
+            "n_words": F.size(words),
+            "n_distinct": F.size(F.array_distinct(words)),
+            "n_upper": without("\\p{Lu}"),
+            "n_digit": without("[0-9]"),
+            "n_mark": without("[#$%&*@<>{}\\\\^~=_+]"),
+            "n_bang": literal("!"),
+            "n_pipe": literal("|"),
+            "n_stop": literal("."),
+            "n_comma": literal(","),
+            "n_line": literal("\n"),
+        }
+        return F.struct(*(c.cast("double").alias(n) for n, c in found.items()))
+
+    words_of = lambda t: F.filter(F.split(t, "[ \\x09-\\x0D]+"), lambda w: w != "")
+    return bound(F.coalesce(text, F.lit("")), lambda t: bound(words_of(t), lambda words: count(t, words)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 #: The inputs of rules: the statistics, and ratios of two of them (0 where the second is 0).
@@ -67,12 +83,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
-def with_inputs(rows: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """The columns of `keep` and, under `q`, a struct with every input as a double."""
-    counted = rows.select(*keep, *(c.cast("double").alias(f"__q_{n}") for n, c in statistics(text).items()))
-    ratio = lambda a, b: F.when(F.col(f"__q_{b}") > 0, F.col(f"__q_{a}") / F.col(f"__q_{b}")).otherwise(0.0)
-    kept = [c for c in counted.columns if not c.startswith("__q_")]
-    return counted.select(*(f"`{c}`" for c in kept), *((ratio(*RATIOS[n]) if n in RATIOS else F.col(f"__q_{n}")).alias(f"__i_{n}") for n in INPUTS))
+def inputs(text: Column) -> Column:
+    """A struct of the inputs of rules; the statistics below it are computed once."""
+    ratio = lambda q, a, b: F.when(q[b] > 0, q[a] / q[b]).otherwise(F.lit(0.0))
+    return bound(statistics(text), lambda q: F.struct(*((ratio(q, *RATIOS[n]) if n in RATIOS else q[n]).alias(n) for n in INPUTS)))
 
 
 @dataclass
@@ -82,15 +96,20 @@ class Rules:
     intercept: float
     rules: list[tuple[float, tuple]]
 
-    def column(self) -> Column:
-        z = F.lit(self.intercept)
-        for weight, conjunction in self.rules:
-            holds = F.lit(True)
-            for f, low, cut in conjunction:
-                x = F.col(f"__i_{INPUTS[f]}")
-                holds = holds & ((x <= cut) if low else (x > cut))
-            z = z + F.when(holds, weight).otherwise(0.0)
-        return 1.0 / (1.0 + F.exp(-z))
+    def column(self, text: Column) -> Column:
+        """The score of a text."""
+
+        def logit(q: Column) -> Column:
+            z = F.lit(self.intercept)
+            for weight, conjunction in self.rules:
+                holds = F.lit(True)
+                for f, low, cut in conjunction:
+                    x = q[INPUTS[f]]
+                    holds = holds & ((x <= cut) if low else (x > cut))
+                z = z + F.when(holds, weight).otherwise(0.0)
+            return z
+
+        return 1.0 / (1.0 + F.exp(-bound(inputs(text), logit)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return trees.sigmoid(self.intercept + sum((w * _holds(c, x) for w, c in self.rules), np.zeros(len(x))))
@@ -130,11 +149,11 @@ def lasso_logistic(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, penalty: float = 5e-4) -> Rules:
-    if not len(y) or y.min() == y.max():
+    boosted = trees.fit(x, y, rounds, depth) if len(y) and y.min() < y.max() else trees.Boosted()
+    rules = list(dict.fromkeys(_simplified(p) for t in boosted.trees for p in t.paths()))
+    if not rules:
         p = float(y.mean()) if len(y) else 0.5
         return Rules(float(np.log((p + 1e-6) / (1 - p + 1e-6))), [])
-    boosted = trees.fit(x, y, rounds, depth)
-    rules = list(dict.fromkeys(_simplified(p) for t in boosted.trees for p in t.paths()))
     m = np.stack([_holds(r, x) for r in rules], 1).astype(np.float64)
     share = m.mean(0)
     scale = np.sqrt(np.maximum(share * (1 - share), 1e-4))
@@ -149,21 +168,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = usable.select(F.col("doc_id").alias("__label_id"), F.col("quality").cast("double").alias("__label")).orderBy(F.xxhash64("__label_id"), "__label_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(some), F.col("__id") == F.col("__label_id"))
-    got = with_inputs(rows, F.col("__text"), [F.col("__id"), F.col("__label")]).orderBy("__id", "__label").limit(2 * sample_rows).toPandas()
-    return fit_rules(got[[f"__i_{n}" for n in INPUTS]].to_numpy(np.float64), got["__label"].to_numpy(np.float64))
+    got = rows.select("__id", "__label", inputs(F.col("__text")).alias("q")).orderBy("__id", "__label", "q").limit(2 * sample_rows).select("__label", "q.*").toPandas()
+    return fit_rules(got[INPUTS].to_numpy(np.float64), got["__label"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD) -> DataFrame:
-    rows = with_inputs(docs, F.col("text"), [F.col("doc_id")])
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), rules.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), rules.column(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that the rules accept, with their columns."""
-    rules = learn(docs, labels)
-    quoted = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    rows = with_inputs(docs, F.col("text"), [F.struct(*quoted).alias("__row")]).where(rules.column() >= threshold)
-    return rows.select(*(F.col(f"__row.{q}").alias(c) for q, c in zip(quoted, docs.columns, strict=True)))
+    return docs.where(learn(docs, labels).column(F.col("text")) >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
