@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(sc, "_vellum_shipped", False):
         return spark
     top = Path(__file__).resolve().parent
-    at = os.path.join(tempfile.mkdtemp(prefix="vellum-"), "vellum_package.zip")
+    folder = tempfile.mkdtemp(prefix="vellum-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file as long as the driver runs
+    at = os.path.join(folder, "vellum_package.zip")
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"vellum/{p.relative_to(top)}")
