@@ -75,6 +75,14 @@ def test_inclusion_order_follows_zones(spark):
     assert tuple(got) == ("first\n\nsecond", "manual")
 
 
+def test_inclusion_takes_lines_of_a_block(spark):
+    b = block(0, 50, 100, 250, 160)
+    b["lines"] = [[{"text": t, "size": 10.0, "bold": False, "italic": False}] for t in ("one", "two", "three")]
+    p = page(spark, [b], include=[(40, 118, 260, 170)])
+    assert one(reading.page_text(p), "text") == "two three"
+    assert [(x["line_id"], x["y0"], x["y1"]) for x in one(p, reading.lines_of(F.col("blocks")))] == [(0, 100.0, 120.0), (1, 120.0, 140.0), (2, 140.0, 160.0)]
+
+
 def test_table_with_caption(spark):
     cell = lambda x0, y0, x1, t: {"x0": x0, "y0": y0, "x1": x1, "y1": y0 + 10, "text": t}
     t = {"table_id": 0, "x0": 50.0, "y0": 100.0, "x1": 450.0, "y1": 200.0, "row_count": 3, "col_count": 3, "cells": [cell(50.0, 100.0, 150.0, "TABLE 1"), cell(150.0, 101.0, 450.0, "Drugs  and\nuse"), cell(50.0, 120.0, 150.0, "a"), cell(150.0, 120.0, 300.0, "b"), cell(300.0, 123.0, 450.0, "c"), cell(50.0, 140.0, 150.0, "1"), cell(150.0, 140.0, 300.0, ""), cell(300.0, 140.0, 450.0, "3")]}

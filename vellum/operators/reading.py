@@ -69,8 +69,14 @@ def with_reading_order(pages: DataFrame, name: str = "reading", move_title: bool
 
 
 def lines_of(blocks: Column) -> Column:
-    """Line rectangles of one-line blocks, for decoders that give none."""
-    return F.transform(blocks, lambda b, i: F.struct(i.cast("int").alias("line_id"), b["block_id"].alias("blk"), *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1", "max_size")), F.flatten(b["lines"]).alias("spans")))
+    """Lines for decoders that give none: the lines of each block, with equal shares of its height."""
+    def share(b: Column) -> Column:
+        n = F.size(b["lines"])
+        at = lambda k: b["y0"] + (b["y1"] - b["y0"]) * k / n
+        size = lambda line: F.coalesce(F.array_max(F.transform(line, lambda s: s["size"])), b["max_size"])
+        return F.transform(b["lines"], lambda line, k: F.struct(b["block_id"].alias("blk"), b["x0"].alias("x0"), at(k).alias("y0"), b["x1"].alias("x1"), F.when(k + 1 == n, b["y1"]).otherwise(at(k + 1)).alias("y1"), size(line).alias("max_size"), line.alias("spans")))
+
+    return F.transform(F.flatten(F.transform(blocks, share)), lambda x, i: F.struct(i.cast("int").alias("line_id"), *(x[k].alias(k) for k in ("blk", "x0", "y0", "x1", "y1", "max_size", "spans"))))
 
 
 def first_zone(r: Column, zones: Column) -> Column:
