@@ -133,6 +133,20 @@ def test_glued_paragraph_is_cut(spark):
     assert got == f"{left}\n\n{right}\n\nshort one"
 
 
+def test_plans_are_applied(spark):
+    """The layout backend: broken words joined, glued paragraphs cut, blanks set; other modes and overrides."""
+    left, right = "the left column ends right here now", "another column begins over there today"
+    bs = [block(0, 50, 100, 250, 120, left), block(1, 320, 100, 520, 120, right), block(2, 50, 140, 250, 160, "more text left", 16), block(3, 320, 140, 520, 160, "more text right")]
+    p = page(spark, bs, raw=f"{left} {right}\n\nbro-\nken **12**and _a_,b")
+    run = lambda **k: tuple(reading.page_text(p, **k).select("plan", "text", "label").first())
+    assert run(backend=planner.LAYOUT_BACKEND) == (["dehyphenate", "split_glued", "spacing"], f"{left}\n\n{right}\n\nbroken **12** and _a_, b", "auto")
+    assert run() == (["reorder_columns", "spacing"], f"{left}\n\n# more text left\n\n### {right}".replace("### ", "") + "\n\nmore text right", "auto")
+    assert run(mode="reorder_columns_title")[:2] == (["reorder_columns_title"], f"# more text left\n\n{left}\n\n{right}\n\nmore text right")
+    assert run(mode="dehyphenate")[1].endswith("broken **12**and _a_,b") and run(mode="none")[0] == []
+    over = planner.Overrides.parse('{"disable": ["spacing"], "rules": [{"when": {"columns": {"gte": 2}}, "apply": ["split_glued"]}]}')
+    assert run(overrides=over) == (["split_glued"], f"{left}\n\n{right}\n\nbro-\nken **12**and _a_,b", "auto")
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("é-\né **12**and _a_,_b_ Straße",)], "t string")
     assert one(df, tx.dehyphenated(F.col("t"))).startswith("éé")

@@ -90,9 +90,9 @@ def test_gallery(spark):
 def test_clip_text(spark):
     line = lambda k, x0, y0, x1, y1, t: {"line_id": k, "blk": 0, **rect(x0, y0, x1, y1), "max_size": 9.0, "spans": [{"text": x, "size": 9.0, "bold": False, "italic": False} for x in t.split()]}
     lines = [line(0, 0, 0, 10, 10, "in here"), line(1, 8, 0, 30, 10, "out"), line(2, 0, 90, 10, 99, "low"), line(3, 2, 12, 9, 20, "too")]
-    df = spark.createDataFrame([(lines,)], f"lines array<{LINE}>")
+    df = complete(spark.createDataFrame([(lines,)], f"lines array<{LINE}>"))
     assert one(df, reading.clip_text(F.col("lines"), *(F.lit(float(x)) for x in (0, 0, 15, 50)))) == "in here\ntoo"
-    assert one(df, reading.column_texts(F.col("lines"), F.lit(15.0))[1]) == "out"
+    assert one(df, reading.column_texts(F.lit(15.0))[1]) == "out"
 
 
 # --- options and services ---------------------------------------------------------------------------

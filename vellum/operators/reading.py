@@ -140,19 +140,24 @@ def clip_text(lines: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return F.array_join(F.transform(held, lambda r: F.array_join(F.transform(r["spans"], lambda s: s["text"]), " ")), "\n")
 
 
-def column_texts(lines: Column, split: Column) -> tuple[Column, Column]:
-    """Normalised texts left and right of a border, by the middle of each line."""
-    far = d(1e300)
-    return reading_key(clip_text(lines, -far, -far, split, far)), reading_key(clip_text(lines, split, -far, far, far))
+def column_texts(split: Column) -> tuple[Column, Column]:
+    """Normalised texts of a page left and right of a border, by the middle of each line; heights do not matter."""
+    rows = lambda lines, of: F.transform(lines, lambda x: F.struct(of(x)["x0"].alias("x0"), of(x)["x1"].alias("x1"), (x["spans"] if of(x) is x else x).alias("spans")))
+    own = F.flatten(F.transform("blocks", lambda b: rows(b["lines"], lambda x: b)))
+    lines = F.when(F.size("lines") > 0, rows(F.col("lines"), lambda x: x)).otherwise(own)
+    side = lambda test: reading_key(F.array_join(F.transform(F.filter(lines, test), lambda r: F.array_join(F.transform(r["spans"], lambda s: s["text"]), " ")), "\n"))
+    return side(lambda r: middle(r) <= split), side(lambda r: middle(r) > split)
 
 
 def with_split_glued(pages: DataFrame, text: str, name: str, needed: Column | None = None) -> DataFrame:
     """The pages with glued paragraphs of `text` cut; unchanged without a clear border or where not needed."""
     border = columns.widest_split(columns.intervals(columns.without_margins(F.col("blocks"), F.col("height")), F.col("width")))
     p = pages.withColumn("__border", border if needed is None else F.when(needed, border))
-    left, right = column_texts(page_lines(), F.col("__border"))
+    left, right = column_texts(F.col("__border"))
     p = p.withColumn("__left", F.when(F.col("__border").isNotNull(), left)).withColumn("__right", F.when(F.col("__border").isNotNull(), right))
-    cut = split_glued(F.when(F.col("__border").isNotNull(), F.col(text)), F.col("__left"), F.col("__right"))
+    # Both sides stand twice, so that the optimizer keeps them as columns: it does not find a Python function again
+    # whose arguments hold nested lambdas.
+    cut = split_glued(F.when(F.col("__left").isNotNull() & F.col("__right").isNotNull(), F.col(text)), F.col("__left"), F.col("__right"))
     return p.withColumn("__cut", cut).withColumn(name, F.coalesce("__cut", text)).drop("__border", "__left", "__right", "__cut")
 
 
