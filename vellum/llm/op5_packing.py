@@ -28,8 +28,8 @@ from .common import arrow_map, checkpointed, salt, table
 DEPTH = 4096
 END_ID = 2
 BATCH_WORDS = 2000
-#: Words whose ids a worker keeps.
-WORDS_HELD = 600_000
+#: Words whose ids a worker keeps, in two generations.
+WORDS_HELD = 1_500_000
 _loaded: dict[str, Words] = {}
 
 
@@ -44,6 +44,16 @@ class Words(dict):
         ends = [i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.ends[ends] = True
+        self.older: dict[bytes, bytes] = {}
+
+    def known(self, w: bytes) -> bool:
+        """Whether the ids of `w` are held; those of the older generation come back to the younger one."""
+        if w in self:
+            return True
+        ids = self.older.get(w)
+        if ids is not None:
+            self[w] = ids
+        return ids is not None
 
     def learn(self, words: list[bytes]) -> None:
         """Add what is missing of `words`. Letters-only words are encoded together and told apart at word ends."""
@@ -53,9 +63,9 @@ class Words(dict):
             if core.isalpha():
                 low = core.lower()
                 parts[w] = (low, tail)
-                if low not in self:
+                if not self.known(low):
                     plain.append(low)
-                if tail and tail not in self:
+                if tail and not self.known(tail):
                     rest.append(tail)
             else:
                 rest.append(w)
@@ -77,10 +87,11 @@ class Words(dict):
             self[w] = self[low] + self[tail] if tail else self[low]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > WORDS_HELD:
+        if len(self) > WORDS_HELD // 2:
+            self.older = dict(self)
             self.clear()
         split = [t.split() for t in texts]
-        self.learn(list({w for words in split for w in words if w not in self}))
+        self.learn([w for w in {w for words in split for w in words if w not in self} if not self.known(w)])
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
