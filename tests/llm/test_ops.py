@@ -363,6 +363,19 @@ def test_packing(spark, library):
     assert op5_packing.pack(docs_of(spark, []), VOCAB).count() == 0
 
 
+def test_words_survive_in_two_generations(library, monkeypatch):
+    monkeypatch.setattr(op5_packing, "WORDS_HELD", 40)
+    r = random.Random(9)
+    held, counts = op5_packing.Words(VOCAB), op10_token_counts.Counts(VOCAB)
+    for _ in range(60):
+        texts = [words(r, 12, "abcdéf.,3'").encode() for _ in range(3)]
+        for t, ids in zip(texts, held.encode(texts), strict=True):
+            want = library.encode(t.decode(), add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and op10_token_counts.tokens_of(t.decode(), counts) == len(want)
+        counts.trim(40)
+    assert len(held.older) > 0 and len(counts.older) > 0
+
+
 def test_shortest_pack_first_places_all():
     r = random.Random(1)
     histogram = {r.randint(1, 64): r.randint(1, 50) for _ in range(40)}

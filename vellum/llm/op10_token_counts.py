@@ -28,8 +28,8 @@ from .bpe import SPECIAL, State, Transducer
 from .common import arrow_map, table
 
 CHUNK_BYTES = 1 << 16
-#: Words whose counts a worker keeps; characters before a border from which its expected state is found.
-WORDS_HELD, RUN_UP = 600_000, 48
+#: Words whose counts a worker keeps, in two generations; characters before a border from which its expected state is found.
+WORDS_HELD, RUN_UP = 1_500_000, 48
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 _compiled: dict[str, Counts] = {}
 #: A state inside a piece: the transducer's, and the byte that may be the piece's last. None: between pieces.
@@ -41,15 +41,19 @@ class Counts(dict):
 
     def __init__(self, path: str):
         self.machine = Transducer(path)
+        self.older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        low = word.lower() if b"<|" not in word else word
-        n = self[low] if low != word else sum(1 if isinstance(p, int) else self.machine.count(p) for p in self.machine.pieces(word))
+        n = self.older.get(word)
+        if n is None:
+            low = word.lower() if b"<|" not in word else word
+            n = self[low] if low != word else sum(1 if isinstance(p, int) else self.machine.count(p) for p in self.machine.pieces(word))
         self[word] = n
         return n
 
     def trim(self, most: int = WORDS_HELD) -> None:
-        if len(self) > most:
+        if len(self) > most // 2:
+            self.older = dict(self)
             self.clear()
         self.machine.trim()
 
