@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from vellum.llm import outputs
+from vellum.llm.common import shared_dir
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,3 +26,16 @@ def test_sequences(spark):
     got = outputs.sequences(spark.createDataFrame(texts, "doc_id long, text string"), VOCAB, depth=64).collect()
     want = [t for _, x in texts for t in [*library.encode(x, add_special_tokens=False).ids, 2]]
     assert all(len(r.ids) <= 64 for r in got) and sorted(t for r in got for t in r.ids) == sorted(want)
+
+
+@pytest.mark.parametrize(("master", "refused"), [("spark://host:7077", True), ("yarn", True), ("local-cluster[2,1,1024]", True), ("local[2]", False)])
+def test_a_cluster_needs_a_shared_folder(master, refused):
+    made = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    if refused:
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            shared_dir(session)
+    else:
+        assert [shared_dir(session)] == made
+    assert not (refused and made)
