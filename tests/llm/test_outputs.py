@@ -39,3 +39,11 @@ def test_a_cluster_needs_a_shared_folder(master, refused):
     else:
         assert [shared_dir(session)] == made
     assert not (refused and made)
+
+
+def test_a_worker_keeps_things_for_one_operator_only():
+    from vellum.llm import common
+
+    first = common.begun(lambda: (common.kept(("a",), list),))[0]
+    assert common.begun(lambda: (common.kept(("a",), list),))[0] is first
+    assert common.begun(None) == () and common.begun(lambda: (common.kept(("a",), list),))[0] is not first

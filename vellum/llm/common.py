@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,28 @@ from ..runtime import ship
 SLICE_ROWS = 1000
 
 
+#: What a Python worker keeps between tasks of one operator, and the keys that the present task asked for.
+_kept: dict[tuple, Any] = {}
+_used: set[tuple] = set()
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What `make` made for this worker; it goes when a task of another operator begins."""
+    _used.add(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def begun(once: Callable[[], tuple] | None) -> tuple:
+    """What a task needs, made or kept; what other operators left in this worker is dropped."""
+    _used.clear()
+    own = once() if once else ()
+    for key in [k for k in _kept if k not in _used]:
+        del _kept[key]
+    return own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +54,7 @@ def arrow_map(df: DataFrame, rows: Callable[..., dict[str, list]], schema: str,
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = once() if once else ()
+        own = begun(once)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 got = rows(*own, *(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns))

@@ -25,13 +25,12 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import SPECIAL, State, Transducer
-from .common import arrow_map, table
+from .common import arrow_map, kept, table
 
 CHUNK_BYTES = 1 << 16
 #: Words whose counts a worker keeps, in two generations; characters before a border from which its expected state is found.
 WORDS_HELD, RUN_UP = 1_500_000, 48
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
-_compiled: dict[str, Counts] = {}
 #: A state inside a piece: the transducer's, and the byte that may be the piece's last. None: between pieces.
 Inside = tuple[State, int] | None
 
@@ -181,9 +180,7 @@ def tokens_of(text: str, counts: Counts, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 
 def compiled(path: str) -> Counts:
-    if path not in _compiled:
-        _compiled[path] = Counts(path)
-    return _compiled[path]
+    return kept(("counts", path), lambda: Counts(path))
 
 
 def count_tokens(docs: DataFrame, vocab: str, limit: int = 2048, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_vocabulary
-from .common import arrow_map, checkpointed, salt, table
+from .common import arrow_map, checkpointed, kept, salt, table
 
 DEPTH = 4096
 END_ID = 2
 BATCH_WORDS = 2000
 #: Words whose ids a worker keeps, in two generations.
 WORDS_HELD = 1_500_000
-_loaded: dict[str, Words] = {}
 
 
 class Words(dict):
@@ -96,9 +95,7 @@ class Words(dict):
 
 
 def loaded(path: str) -> Words:
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    return kept(("words", path), lambda: Words(path))
 
 
 def pieces(docs: DataFrame, vocab: str, depth: int = DEPTH, end_id: int = END_ID) -> DataFrame:
