@@ -47,3 +47,31 @@ def test_a_worker_keeps_things_for_one_operator_only():
     first = common.begun(lambda: (common.kept(("a",), list),))[0]
     assert common.begun(lambda: (common.kept(("a",), list),))[0] is first
     assert common.begun(None) == () and common.begun(lambda: (common.kept(("a",), list),))[0] is not first
+
+
+def test_a_checkpoint_deletes_the_shuffle_files_that_led_to_it(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from vellum.llm.common import CLEANUP, checkpointed
+    from vellum.llm.components import components
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found) if (n := f.getName()).startswith("shuffle_")}
+
+    def gone(before):
+        until = time.time() + 20
+        while files() - before and time.time() < until:
+            time.sleep(0.2)
+        return not files() - before
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    rows = spark.range(5000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    kept = checkpointed(rows)
+    chain = components(spark.range(50).select((F.col("id") + 1).alias("u"), F.col("id").alias("v")))
+    assert gone(before)
+    assert spark.conf.get(CLEANUP) == setting
+    assert sorted(map(tuple, kept.collect())) == [(k, sum(range(k, 5000, 7))) for k in range(7)]
+    assert sorted(map(tuple, chain.collect())) == [(k, 0) for k in range(1, 51)]

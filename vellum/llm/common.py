@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from ..runtime import ship
 
 #: Rows handled together inside one Arrow batch; it bounds what a Python worker holds.
 SLICE_ROWS = 1000
+#: Spark's setting for the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: What a Python worker keeps between tasks of one operator, and the keys that the present task asked for.
@@ -92,10 +95,22 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.join(other, F.col(f"__docs.{key}") == F.col("__gone.__key"), "left_anti")
 
 
+@contextmanager
+def spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A query that is built and run inside deletes its shuffle files when it ends, instead of when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files that led to it are deleted."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with spent_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def salt(key: Column, parts: int) -> Column:
