@@ -94,3 +94,14 @@ def test_time_is_linear_in_spans_and_values():
         spans = sorted((a, b) for a, _, b in added)
         assert all(x[1] <= y[0] for x, y in itertools.pairwise(spans))
     assert len(re.findall("pwd", "pwd: x7Gq9zT2vLpR\n" * 10)) == len(op.spans_of("pwd: x7Gq9zT2vLpR\n" * 10, words)[1])
+
+
+def test_words_are_looked_up_only_where_one_can_end(monkeypatch):
+    words, seen, plain = op.word_costs(VOCAB), [], op.word_cost
+    monkeypatch.setattr(op, "word_cost", lambda span, w: seen.append(span) or plain(span, w))
+    for v in ("x7Gq9zT2vL" * 500, "key=" * 500, "pAssw0rd$umm3r\u212aeyİtokenΣsun1ight" * 20):
+        seen.clear()
+        op.guess_cost(v, words)
+        assert len(seen) <= 2 * len(v), v[:20]
+        spans = {v[i - k : i] for i in range(len(v) + 1) for k in range(3, min(i, words.longest) + 1)}
+        assert {x for x in spans if plain(x, words) is not None} <= set(seen)

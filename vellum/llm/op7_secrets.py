@@ -58,11 +58,14 @@ _words: dict[str, Words] = {}
 
 
 class Words(dict):
-    """log10 of the rank of every whole word of three letters or more, in order of the vocabulary."""
+    """log10 of the rank of every whole word of three letters or more, in order of the vocabulary.
+
+    `ends` holds every end of every word, marks read as letters: where a span is not among them, no longer one is a word."""
 
     def __init__(self, ranked: Iterable[str]):
         super().__init__({w: math.log10(i + 2) for i, w in enumerate(ranked)})
         self.longest = max(map(len, self), default=0)
+        self.ends = {plain[k:] for plain in (w.translate(ALIKE) for w in self) for k in range(len(plain))}
 
 
 def word_costs(path: str) -> Words:
@@ -137,6 +140,7 @@ def guess_cost(value: str, words: Words, enough: float = math.inf) -> float:
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
+    plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in value).translate(ALIKE)
     kinds = [1 << char_class(c) for c in value]
     used = reduce(or_, kinds, 0)
     costs = {m: math.log10(sum(a for k, a in enumerate(ALPHABETS) if m >> k & 1)) for m in range(1, used + 1) if m & used == m}
@@ -174,8 +178,10 @@ def guess_cost(value: str, words: Words, enough: float = math.inf) -> float:
             way = step
             for s in range(walk, min(walk + STARTS, i - 2)):
                 now = min(now, best[s] + walk_cost(i - s) + SEGMENT)
-        for k in range(3, min(i, words.longest) + 1):
-            if (cost := word_cost(value[i - k : i], words)) is not None:
+        for k in range(1, min(i, words.longest) + 1):
+            if plain[i - k : i] not in words.ends:
+                break
+            if k >= 3 and (cost := word_cost(value[i - k : i], words)) is not None:
                 now = min(now, best[i - k] + cost + SEGMENT)
         if low[i - 1].isdigit():
             for k in (4, 8, 10):
