@@ -51,3 +51,25 @@ def test_translate_chunks_cut_long_prose(spark, sf_dir):
     assert any(len(p) > 1500 for r in docs for p in r.text.split("\n"))
     want = {(r.doc_id, hashlib.sha1("\n\n".join(map(plain, r.text.split("\n"))).encode()).hexdigest()) for r in docs}
     assert {tuple(r) for r in QUERIES["translate_chunks"](spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["column_assign", "column_intervals", "column_splits", "column_widest", "page_profile", "reading_order"])
+def test_equal_boxes(spark, tmp_path, name):
+    """Blocks of one page with equal x0 and x1: two windows of the SQL leave their order open. Decided alike in both, by
+    block_id either way, the SQL gives the query's rows; decided differently it gives others."""
+    lines = lambda i: "\n".join("x" * (20 + (i + j * j) % 5) for j in range(150))
+    pd.DataFrame({"doc_id": range(24), "text": [lines(i) for i in range(24)]}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    first, second = "preceding and 1 preceding", "preceding and current row"
+
+    def rows(a: str, b: str) -> list[tuple]:
+        sql = re.sub(r"select page_id, x0, x1, max\(x1\)", "select page_id, block_id, x0, x1, max(x1)", ORACLES[name])
+        for end, way in ((first, a), (second, b)):
+            sql, n = re.subn(rf"order by x0, x1 (rows between unbounded {end})", rf"order by x0, x1, block_id {way} \1", sql)
+            assert n == 1
+        return canonical(con.execute(sql).df())
+
+    got = canonical(QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert got == rows("asc", "asc") == rows("desc", "desc")
+    assert got != rows("asc", "desc")
