@@ -376,6 +376,30 @@ def test_words_survive_in_two_generations(library, monkeypatch):
     assert len(held.older) > 0 and len(counts.older) > 0
 
 
+def test_words_of_one_batch_are_encoded_together(library):
+    """Accents, digits and runs of signs are no reason to ask the library word by word; what is encoded together equals what is not."""
+
+    class Counted:
+        asked = 0
+
+        def __getattr__(self, name):
+            def call(texts, *args, **more):
+                self.asked += len(texts) if isinstance(texts, list) else 1
+                return getattr(library, name)(texts, *args, **more)
+
+            return call
+
+    r = random.Random(12)
+    made = [words(r, 60, "aBcÉßñ7ı''.,#%$*\x1c\x7f") + " it's x'RE ''s <| |>" for _ in range(20)]
+    held = op5_packing.Words(VOCAB)
+    held.library = counted = Counted()
+    got = held.encode([t.encode() for t in made])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in made]
+    assert counted.asked <= 3
+    odd = "<|endoftext|>x İa e\u0301 ﬁ жук 漢字 \u212b \xa0 a\xa0b ª²½ ŉ ẞ"
+    assert np.frombuffer(held.encode([odd.encode()])[0], "<u4").tolist() == library.encode(odd, add_special_tokens=False).ids
+
+
 def test_shortest_pack_first_places_all():
     r = random.Random(1)
     histogram = {r.randint(1, 64): r.randint(1, 50) for _ in range(40)}

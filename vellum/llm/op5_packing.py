@@ -17,19 +17,20 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import read_vocabulary
+from .bpe import SIMPLE, SPLIT, read_vocabulary
 from .common import arrow_map, checkpointed, kept, salt, table
 
 DEPTH = 4096
 END_ID = 2
 BATCH_WORDS = 2000
-#: Words whose ids a worker keeps, in two generations.
-WORDS_HELD = 1_500_000
+#: Words whose ids a worker keeps, in two generations; one just fits a table of 2^20 slots (half of 2^21, and no copy while it grows).
+WORDS_HELD = 1_360_000
 
 
 class Words(dict):
@@ -45,53 +46,65 @@ class Words(dict):
         self.ends[ends] = True
         self.older: dict[bytes, bytes] = {}
 
-    def known(self, w: bytes) -> bool:
-        """Whether the ids of `w` are held; those of the older generation come back to the younger one."""
-        if w in self:
-            return True
-        ids = self.older.get(w)
-        if ids is not None:
-            self[w] = ids
-        return ids is not None
-
-    def learn(self, words: list[bytes]) -> None:
-        """Add what is missing of `words`. Letters-only words are encoded together and told apart at word ends."""
-        plain, rest, parts = [], [], {}
+    def recalled(self, words: Iterable[bytes]) -> list[bytes]:
+        """Those of `words`, none of them in the younger generation, that the older one lacks as well; what it holds comes back."""
+        lost = []
         for w in words:
-            core, tail = (w[:-1], w[-1:]) if w[-1:] in b".,;:!?" and len(w) > 1 else (w, b"")
-            if core.isalpha():
-                low = core.lower()
-                parts[w] = (low, tail)
-                if not self.known(low):
-                    plain.append(low)
-                if tail and not self.known(tail):
-                    rest.append(tail)
+            ids = self.older.get(w)
+            if ids is None:
+                lost.append(w)
             else:
-                rest.append(w)
-        plain, rest = list(dict.fromkeys(plain)), list(dict.fromkeys(rest))
-        for at in range(0, len(plain), BATCH_WORDS):
-            some = plain[at : at + BATCH_WORDS]
-            ids = np.array(self.library.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+                self[w] = ids
+        return lost
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Add `words`, of which none is held. A word's ids are those of its pieces, as the splitter cuts it (`bpe.SPLIT`);
+        pieces are encoded together and told apart at word ends. Words of other scripts go to the library one by one."""
+        fresh, parts, other = {}, [], []
+        for w in words:
+            if w.isalpha():
+                found = (w.lower(),)
+            elif w[-1:] in b".,;:!?" and w[:-1].isalpha():
+                found = (w[:-1].lower(), w[-1:])
+            elif b"<|" in w or not SIMPLE.fullmatch(low := (text := w.decode()).lower()) or "\u0130" in text:
+                other.append(w)
+                continue
+            else:
+                found = [x.encode() for x in SPLIT.findall(low)]
+            fresh.update(dict.fromkeys(found))
+            if found[0] != w:
+                parts.append((w, found))
+        pieces = self.recalled([x for x in fresh if x not in self])
+        for at in range(0, len(pieces), BATCH_WORDS):
+            some = pieces[at : at + BATCH_WORDS]
+            ids = self._ids(b" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            assert len(cuts) == len(some), "a word without its end"
+            assert len(cuts) == len(some), "a piece without its end"
             raw, before = ids.tobytes(), 0
-            for w, cut in zip(some, (cuts * 4).tolist(), strict=True):
-                self[w] = raw[before:cut]
+            for x, cut in zip(some, (cuts * 4).tolist(), strict=True):
+                self[x] = raw[before:cut]
                 before = cut
-        for at in range(0, len(rest), BATCH_WORDS):
-            some = rest[at : at + BATCH_WORDS]
-            for w, e in zip(some, self.library.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (low, tail) in parts.items():
-            self[w] = self[low] + self[tail] if tail else self[low]
+        for w in other:
+            self[w] = self._ids(w).tobytes()
+        for w, found in parts:
+            self[w] = b"".join([self[x] for x in found])
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self) > WORDS_HELD // 2:
+            self.older.clear()  # before the copy is made
             self.older = dict(self)
             self.clear()
         split = [t.split() for t in texts]
-        self.learn([w for w in {w for words in split for w in words if w not in self} if not self.known(w)])
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        found = [list(map(self.get, words)) for words in split]
+        gaps = [[k for k, ids in enumerate(each) if ids is None] for each in found]
+        self.learn(self.recalled({words[k] for words, gap in zip(split, gaps, strict=True) for k in gap}))
+        for words, each, gap in zip(split, found, gaps, strict=True):
+            for k in gap:
+                each[k] = self[words[k]]
+        return [b"".join(each) for each in found]
 
 
 def loaded(path: str) -> Words:
