@@ -73,3 +73,24 @@ def test_equal_boxes(spark, tmp_path, name):
     got = canonical(QUERIES[name](spark, str(tmp_path)).toPandas())
     assert got == rows("asc", "asc") == rows("desc", "desc")
     assert got != rows("asc", "desc")
+
+
+@pytest.mark.parametrize("name", ["fix_plan_override", "glued_split", "page_texts", "title_reading"])
+def test_equal_boxes_in_longer_queries(spark, tmp_path, name):
+    """The same for queries that use the columns of a page: plans, the glued-paragraph cut, whole pages."""
+    lines = lambda i: "\n".join(f"w{j % 7} {'x' * 30}"[: 20 + (i + j * j) % 5] for j in range(150))
+    pd.DataFrame({"doc_id": range(24), "text": [lines(i) for i in range(24)]}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    first, second = "preceding and 1 preceding", "preceding and current row"
+
+    def rows(a: str, b: str) -> list[tuple]:
+        sql, n = re.subn(r"select page_id, x0, x1, max\(x1\)", "select page_id, block_id, x0, x1, max(x1)", ORACLES[name])
+        for end, way in ((first, a), (second, b)):
+            sql, k = re.subn(rf"order by x0, x1 (rows between unbounded {end})", rf"order by x0, x1, block_id {way} \1", sql)
+            assert k == n > 0
+        return canonical(con.execute(sql).df())
+
+    got = canonical(QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert got == rows("asc", "asc") == rows("desc", "desc")
+    assert got != rows("asc", "desc")
